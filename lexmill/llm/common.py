@@ -168,15 +168,15 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 class Bloom:
     """A Bloom filter over 64-bit keys with two probes; its size is fixed when it is made."""
 
-    def __init__(self, bits: int, data: np.ndarray | None = None):
-        self.bits, self.data = bits, np.zeros(bits // 8, np.uint8) if data is None else data
+    def __init__(self, bits: int, data: np.ndarray | None = None, seed: int = 0):
+        self.bits, self.seed, self.data = bits, seed, np.zeros(bits // 8, np.uint8) if data is None else data
 
     @staticmethod
     def size_for(n: int) -> int:
         return min(BLOOM_BITS_MAX, max(1 << 19, 1 << (12 * max(1, n) - 1).bit_length()))
 
     def _at(self, keys: np.ndarray):
-        k = mix(keys.astype(np.uint64, copy=False) ^ np.uint64(0x5851F42D4C957F2D))
+        k = mix(keys.astype(np.uint64, copy=False) ^ np.uint64((0x5851F42D4C957F2D + 0x9E3779B97F4A7C15 * self.seed) & _M64))
         m = np.uint64(self.bits - 1)
         return (k & m, (k >> np.uint64(32)) * np.uint64(0x2545F491) + (k & np.uint64(0xFFFF)) & m) if self.bits <= 1 << 32 else ()
 
@@ -191,13 +191,13 @@ class Bloom:
         return found
 
 
-def bloom_of(keys: DataFrame, column: str, n: int) -> Bloom:
+def bloom_of(keys: DataFrame, column: str, n: int, seed: int = 0) -> Bloom:
     """The filter of a long column, built by the executors in blocks and merged; what reaches the driver is its fixed size."""
     bits = Bloom.size_for(n)
     schema = pa.schema([("block", pa.int32()), ("bits", pa.binary())])
 
     def build(batches):
-        own = Bloom(bits)
+        own = Bloom(bits, seed=seed)
         for b in batches:
             own.add(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
         rows = own.data.reshape(-1, min(_BLOCK, len(own.data)))
@@ -218,7 +218,7 @@ def bloom_of(keys: DataFrame, column: str, n: int) -> Bloom:
     for r in parts.groupBy("block").applyInPandas(merge, "block int, bits binary").toLocalIterator():
         x = np.frombuffer(r["bits"], np.uint8)
         data[r["block"] * len(x) : (r["block"] + 1) * len(x)] = x
-    return Bloom(bits, data)
+    return Bloom(bits, data, seed)
 
 
 # ---------------------------------------------------------------- connected components

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, batch, materialize
+from .common import Bloom, batch, bloom_of, materialize
 
 #: Bits a listed key gets in each level; the cascade shrinks by about a hundredth a level.
 BITS_A_KEY = 12
@@ -65,29 +65,28 @@ def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
     Each level's keys stay distributed; a level's filter is built by the executors.
     The levels end when no key of the other side passes all of them.
     """
-    from .common import bloom_of
-
     listed = materialize(listed.select("h").distinct(), "url-listed")
     others = materialize(universe.select("h").distinct().join(F.broadcast(listed) if listed.count() <= 100_000 else listed, "h", "left_anti"), "url-others")
     levels, sides = [], [listed, others]
     own = listed
     while (n := own.count()) or not levels:
-        levels.append(_sized(own, n, bloom_of))
+        levels.append(_sized(own, n, len(levels)))
         own = materialize(_passes(sides[len(levels) % 2], levels), "url-level")
         if len(levels) > 60:
             raise RuntimeError("the cascade does not end: two keys share a hash")
     return Cascade(levels)
 
 
-def _sized(keys: DataFrame, n: int, bloom_of) -> Bloom:
+def _sized(keys: DataFrame, n: int, level: int) -> Bloom:
+    """A level's filter; every level has a seed of its own, so that its false positives are its own."""
     bits = 1 << max(6, (BITS_A_KEY * max(1, n) - 1).bit_length())
     if bits > Bloom.size_for(n):
-        return bloom_of(keys, "h", n)
+        return bloom_of(keys, "h", n, level)
     if n <= 100_000:  # bounded by the line above: a small level is made on the driver
-        own = Bloom(bits)
+        own = Bloom(bits, seed=level)
         own.add(np.array([r[0] for r in keys.collect()], np.int64).view(np.uint64))
         return own
-    return bloom_of(keys, "h", n)
+    return bloom_of(keys, "h", n, level)
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
