@@ -16,6 +16,21 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_search import integer_vectors, top_k
+
+    vectors = integer_vectors(read_table(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("embedding"))
+    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, held_out, identify
+
+    docs = read_table(spark, sf_dir, "documents")
+    model = fit(docs.select("doc_id", "text", "lang"))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -55,9 +70,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, size=2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_substring_dedup, op5_toxicity, op7_jaccard_join, op8_token_output, op9_url_filter, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_substring_dedup, op5_toxicity, op7_jaccard_join, op8_token_output, op9_url_filter, op10_best_fit_packing)}
 
 SQL: dict[str, str] = {
+    "op1_topk_search": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 1024) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
+""",
     "op3_substring_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 win AS (SELECT rid, i, sha256(array_to_string(w[i:i + 34], ' ')) AS k FROM d, unnest(range(1, len(w) - 33)) AS u(i) WHERE len(w) >= 35),
