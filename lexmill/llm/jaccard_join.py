@@ -6,17 +6,18 @@ every l both l-prefixes (|x| - ceil(t |x|) + l tokens) share l tokens.  Each
 document lengthens its prefix to the l of least estimated cost; a pair is a
 candidate if it shares min(l_x, l_y) tokens of the prefixes of that length.
 
-Equal sets are one class.  Candidates are verified in two steps so that a large
-group of near copies never makes all of its pairs: first each class with the one
-pivot (the least class that shares a token) it shares most with, then every
-candidate pair whose ends are not connected yet.
+Equal sets are one class.  Candidates are verified in steps so that a large group
+of near copies never makes all of its pairs: first each class with the one pivot
+(the least class that shares a token) it shares most with, then components by the
+end classes of their tokens, then every candidate pair whose ends are not
+connected yet, which also must share enough prefix tokens for its sizes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, bloom_of, components, gram_hashes, materialize, mix, release, slices, span_hashes, word_hashes, words
@@ -168,14 +169,24 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     dealt = rows.select("text").mapInArrow(postings, "token long, class long, meta long").repartition("token").sortWithinPartitions("token", "class")
     grouped = materialize(dealt.mapInArrow(groups, "token long, class long, meta long, pivot long, pivot_meta long"), "jaccard-postings")
 
-    def candidates(df: DataFrame, a: str, am: str, b: str, bm: str) -> DataFrame:
-        """(a, b, shared) of the pairs that share enough tokens; df has a row for each shared token."""
-        n = lambda m: F.shiftright(m, 8)
-        least = F.least(F.col(am).bitwiseAND(15), F.col(bm).bitwiseAND(15))
+    n = lambda m: F.shiftright(m, 8)
+    asked = lambda m: F.col(m).bitwiseAND(15)
+
+    def suffix(m: str):
+        """Tokens of a set beyond its lengthened prefix."""
+        return F.expr(f"({percent} * shiftright({m}, 8) + 99) div 100") - asked(m)
+
+    def shared_tokens(df: DataFrame, a: str, am: str, b: str, bm: str, *keys: str) -> DataFrame:
+        """(a, b, sizes, shared, shared_asked) of pairs that sizes let be similar; df has a row for each shared token."""
+        least = F.least(asked(am), asked(bm))
         level = F.greatest(F.shiftright(am, 4).bitwiseAND(15), F.shiftright(bm, 4).bitwiseAND(15))
-        fits = (100 * F.least(n(am), n(bm)) >= percent * F.greatest(n(am), n(bm))) & (level <= least)
-        pairs = df.where(fits).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(least).alias("asked"))
-        return pairs.where("shared >= asked").select("a", "b", "shared")
+        fits = 100 * F.least(n(am), n(bm)) >= percent * F.greatest(n(am), n(bm))
+        return df.where(fits).groupBy(F.col(a).alias("a"), F.col(b).alias("b"), *keys).agg(F.count(F.lit(1)).alias("shared"), F.count(F.when(level <= least, 1)).alias("shared_asked"), F.max(am).alias("am"), F.max(bm).alias("bm"))
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        """Pairs that share as many tokens as both asked for, and enough for the rest of the smaller-ending set to make up the overlap."""
+        most = F.col("shared") + F.greatest(suffix("am"), suffix("bm"))
+        return pairs.where((F.col("shared_asked") >= F.least(asked("am"), asked("bm"))) & ((100 + percent) * most >= percent * (n("am") + n("bm"))))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs whose sets are similar, by whole texts of their classes."""
@@ -212,17 +223,40 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
         release(nodes)
         return out
 
-    by_pivot = candidates(grouped.where("class <> pivot"), "class", "meta", "pivot", "pivot_meta")
-    best = materialize(by_pivot.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("x")).select("a", F.col("x.b").alias("b")), "jaccard-pairs")
-    links = verified(best)
-    group = components(links, "jaccard-pivots")
-    named = grouped.select("token", "class", "meta").join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    apart = materialize(named.join(mixed, "token", "left_semi"), "jaccard-apart")
-    a, b = (apart.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "meta", "component")]) for s in "ab")
-    cross = a.join(b, "token").where("class_a < class_b and component_a <> component_b")
-    rest = materialize(candidates(cross, "class_a", "meta_a", "class_b", "meta_b").select("a", "b"), "jaccard-pairs")
-    return members, links.union(verified(rest))
+    def best(pairs: DataFrame, keys: list[str], most: int) -> DataFrame:
+        """For each key the ``most`` pairs that share most tokens."""
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("shared"), "a", "b"))
+        return materialize(pairs.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b"), "jaccard-pairs")
+
+    def apart(links: DataFrame) -> DataFrame:
+        """Rows of the tokens that classes of two or more components share."""
+        group = components(links, "jaccard-groups")
+        named = grouped.select("token", "class", "meta").join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        named = materialize(named, "jaccard-named")
+        mixed = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
+        return materialize(named.join(mixed, "token", "left_semi"), "jaccard-apart")
+
+    def crossing(rows_: DataFrame) -> DataFrame:
+        a, b = (rows_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "meta", "component")]) for s in "ab")
+        return a.join(b, "token").where("class_a < class_b and component_a <> component_b")
+
+    # 1. each class with the pivot it shares most with
+    by_pivot = shared_tokens(grouped.where("class <> pivot"), "class", "meta", "pivot", "pivot_meta")
+    links = verified(best(by_pivot, ["a"], 1))
+    # 2. components by their first and last class at each token, the best pairs of every two components
+    for _ in range(2):
+        rest = apart(links)
+        ends = rest.groupBy("token", "component").agg(F.min(F.struct("class", "meta")).alias("lo"), F.max(F.struct("class", "meta")).alias("hi"))
+        ends = ends.select("token", "component", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("x")).select("token", "component", F.col("x.class").alias("class"), F.col("x.meta").alias("meta"))
+        near = shared_tokens(crossing(ends), "class_a", "meta_a", "class_b", "meta_b", "component_a", "component_b")
+        pairs = best(near.withColumn("u", F.least("component_a", "component_b")).withColumn("v", F.greatest("component_a", "component_b")), ["u", "v"], 3)
+        if pairs.isEmpty():
+            break
+        links = materialize(links.union(verified(pairs)), "jaccard-links")
+    # 3. every candidate pair that is not connected yet
+    rest = apart(links)
+    pairs = materialize(candidates(shared_tokens(crossing(rest), "class_a", "meta_a", "class_b", "meta_b")).select("a", "b"), "jaccard-pairs")
+    return members, links if pairs.isEmpty() else links.union(verified(pairs))
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
