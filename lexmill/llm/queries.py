@@ -37,6 +37,16 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's candidates, its secrets (masked but for two characters at either end) and the digest of the masked text."""
+    from .secret_scan import VOTES, fit, labelled_findings, scan
+
+    found = scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"), fit(labelled_findings(spark)))
+    secrets = F.filter("findings", lambda f: f["votes"] > VOTES)
+    shown = F.transform(secrets, lambda f: F.concat(F.substring(f["secret"], 1, 2), F.lit("..."), F.substring(f["secret"], -2, 2)))
+    return found.select("doc_id", F.size("findings").alias("n_candidates"), F.size(secrets).alias("n_secrets"), shown.alias("secrets"), F.sha2("masked", 256).alias("masked_sha256"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, held_out, score_toxicity
 
@@ -45,6 +55,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import leaks
+
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -70,7 +86,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, size=2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_substring_dedup, op5_toxicity, op7_jaccard_join, op8_token_output, op9_url_filter, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk_search, op2_language_id, op3_substring_dedup, op4_secret_scan, op5_toxicity, op6_benchmark_decontamination, op7_jaccard_join, op8_token_output, op9_url_filter, op10_best_fit_packing)}
 
 SQL: dict[str, str] = {
     "op1_topk_search": r"""
