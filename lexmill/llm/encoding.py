@@ -14,7 +14,7 @@ from array import array
 import numpy as np
 
 #: Pieces that a worker keeps at most; later new ones are encoded each time they come.
-MEMO_PIECES = 600_000
+MEMO_PIECES = 400_000
 #: Two spaces in a row or a space beside another white space: the byte-level pattern looks past the cut there.
 _CLOSE = re.compile(r"\s \s?|\s ")
 #: Runs of Latin letters, of common marks and single line ends before a letter: one token each in both patterns.

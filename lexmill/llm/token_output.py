@@ -55,7 +55,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A dictionary from the SAMPLE_DOCS documents of the smallest id hashes; empty (no dictionary) if they are too few."""
     import zstandard
 
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    ids = docs.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE_DOCS)
+    last = ids.agg(F.max("h")).first()[0] or 0
+    some = docs.select("doc_id", "text").where(F.xxhash64("doc_id") <= F.lit(last)).limit(2 * SAMPLE_DOCS)
     samples, total = [], 0
     for r in encoded(some, tokenizer, end_id).toLocalIterator():
         if total + len(r["ids"]) > 4 * SAMPLE_IDS:
@@ -117,12 +119,19 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFram
     def pack(batches):
         import zstandard
 
-        c = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        bounds = np.array(cuts, np.int64)
-        for b in batches:
-            ids = b.column(1).to_pylist()
-            at = np.searchsorted(bounds, b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), "right")
-            yield batch(packed, at.astype(np.int32), b.column(0), [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], [c.compress(x) for x in ids])
+        from .encoding import Encoder
+
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if shared:
+            shared.precompute_compress(level=LEVEL)
+        c = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
+        enc, end, bounds = Encoder(tokenizer), struct.pack("<I", end_id), np.array(cuts, np.int64)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
+                ids = [enc.ids(t or "").tobytes() + end for t in b.column(1).to_pylist()]
+                at = np.searchsorted(bounds, b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), "right")
+                yield batch(packed, at.astype(np.int32), b.column(0), [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], [c.compress(x) for x in ids])
 
     blocks = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("image", pa.binary())])
 
@@ -145,7 +154,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFram
         if ids:
             yield out()
 
-    rows = encoded(docs, tokenizer, end_id).mapInArrow(pack, "part int, doc_id long, n int, crc long, frame binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, "part int, doc_id long, n int, crc long, frame binary")
     dealt = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n", "crc", "frame")
     table = materialize(dealt.mapInArrow(build, "part int, block int, doc_ids array<long>, n_tokens long, image binary"), "token-blocks")
     return table, dictionary
