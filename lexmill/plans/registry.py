@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import corpus, registers, search_plans, text_plans
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for module in (search_plans, corpus, registers, text_plans):
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
