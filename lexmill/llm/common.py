@@ -51,6 +51,11 @@ def release(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def no_rows(df: DataFrame) -> bool:
+    """Whether df is empty, by one job (isEmpty tries more and more partitions, a job each time)."""
+    return df.limit(1).count() == 0
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -215,7 +220,7 @@ def bloom_of(keys: DataFrame, column: str, n: int, seed: int = 0) -> Bloom:
 
     parts = keys.select(F.col(column).cast("long").alias("k")).where("k is not null").mapInArrow(build, "block int, bits binary")
     data = np.zeros(bits // 8, np.uint8)
-    for r in parts.groupBy("block").applyInPandas(merge, "block int, bits binary").toLocalIterator():
+    for r in parts.groupBy("block").applyInPandas(merge, "block int, bits binary").collect():  # the filter's fixed size
         x = np.frombuffer(r["bits"], np.uint8)
         data[r["block"] * len(x) : (r["block"] + 1) * len(x)] = x
     return Bloom(bits, data, seed)
@@ -239,14 +244,14 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         out = near.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else near.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
+    def is_done(e: DataFrame) -> bool:
+        """Every node is either a centre or has one link, to a smaller centre."""
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.when(F.col("a") < F.col("b"), 2).otherwise(1).alias("child"), F.lit(0).alias("centre")), F.struct(F.col("b").alias("v"), F.lit(0).alias("child"), F.lit(1).alias("centre")))).alias("x")).select("x.*")
+        return no_rows(ends.groupBy("v").agg(F.sum("child").alias("c"), F.max("centre").alias("p")).where("c > 1 or (c > 0 and p > 0)"))
+
     now = materialize(edges.select("a", "b").where("a <> b").distinct(), f"{tag}-edges")
-    mark = None
-    while True:
+    while not is_done(now):
         nxt = materialize(contract(contract(now, True), False), f"{tag}-edges")
-        seen = nxt.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         release(now)
         now = nxt
-        if seen == mark or not seen[0]:
-            break
-        mark = seen
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -131,7 +131,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             k = np.flatnonzero(n)
             yield batch(one, b_.distinct[k].view(np.int64), n[k])
 
-        often = {r["gram"]: r["n"] for r in rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator()}
+        often = {r["gram"]: r["n"] for r in rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
         block.keep_rare(often)
         seeds = spark.sparkContext.broadcast(block)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, bloom_of, components, gram_hashes, materialize, mix, release, slices, span_hashes, word_hashes, words
+from .common import batch, bloom_of, components, gram_hashes, materialize, mix, no_rows, release, slices, span_hashes, word_hashes, words
 
 #: Words in a shingle, similarity in hundredths, longest multi-match, counters of the frequency sketch.
 SHINGLE, PERCENT, MATCHES_MAX, COUNTERS = 5, 75, 4, 1 << 18
@@ -75,13 +75,13 @@ def _sketch(parts: DataFrame) -> np.ndarray:
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
     out = np.zeros((16, COUNTERS // 16), np.uint32)
-    for r in parts.groupBy("block").applyInPandas(add, "block int, counts binary").toLocalIterator():
+    for r in parts.groupBy("block").applyInPandas(add, "block int, counts binary").collect():
         out[r["block"]] = np.frombuffer(r["counts"], np.uint32)
     return out.ravel()
 
 
-def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, class) of every row, and links (a, b) that connect the classes just as all similar pairs do."""
+def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, class) of every row, and (node, component) of the classes that have links."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     first = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
@@ -228,9 +228,8 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("shared"), "a", "b"))
         return materialize(pairs.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b"), "jaccard-pairs")
 
-    def apart(links: DataFrame) -> DataFrame:
+    def apart(group: DataFrame) -> DataFrame:
         """Rows of the tokens that classes of two or more components share."""
-        group = components(links, "jaccard-groups")
         named = grouped.select("token", "class", "meta").join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         named = materialize(named, "jaccard-named")
         mixed = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
@@ -242,21 +241,25 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
 
     # 1. each class with the pivot it shares most with
     by_pivot = shared_tokens(grouped.where("class <> pivot"), "class", "meta", "pivot", "pivot_meta")
-    links = verified(best(by_pivot, ["a"], 1))
+    group = components(verified(best(by_pivot, ["a"], 1)), "jaccard-groups")
+
+    def joined(new: DataFrame) -> DataFrame:
+        return components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new), "jaccard-groups")
+
     # 2. components by their first and last class at each token, the best pairs of every two components
+    rest = apart(group)
     for _ in range(2):
-        rest = apart(links)
         ends = rest.groupBy("token", "component").agg(F.min(F.struct("class", "meta")).alias("lo"), F.max(F.struct("class", "meta")).alias("hi"))
         ends = ends.select("token", "component", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("x")).select("token", "component", F.col("x.class").alias("class"), F.col("x.meta").alias("meta"))
         near = shared_tokens(crossing(ends), "class_a", "meta_a", "class_b", "meta_b", "component_a", "component_b")
         pairs = best(near.withColumn("u", F.least("component_a", "component_b")).withColumn("v", F.greatest("component_a", "component_b")), ["u", "v"], 3)
-        if pairs.isEmpty():
+        if no_rows(pairs) or no_rows(new := verified(pairs)):
             break
-        links = materialize(links.union(verified(pairs)), "jaccard-links")
+        group = joined(new)
+        rest = apart(group)
     # 3. every candidate pair that is not connected yet
-    rest = apart(links)
     pairs = materialize(candidates(shared_tokens(crossing(rest), "class_a", "meta_a", "class_b", "meta_b")).select("a", "b"), "jaccard-pairs")
-    return members, links if pairs.isEmpty() else links.union(verified(pairs))
+    return members, group if no_rows(pairs) or no_rows(new := verified(pairs)) else joined(new)
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -267,8 +270,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows with equal sets are linked; an empty table gives no rows; other columns
     are not read.
     """
-    members, links = jaccard_links(docs, percent)
-    group = components(links, "jaccard-components")
+    members, group = jaccard_classes(docs, percent)
     full = members.where("n_shingles > 0")
     classes = full.groupBy("class").agg(F.min("doc_id").alias("least"))
     named = materialize(classes.join(group.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("component", "class").alias("component")), "jaccard-classes")

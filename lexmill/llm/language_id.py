@@ -65,7 +65,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         yield batch(schema, np.append(at, -1).astype(np.int32), np.append(df[at], docs))
 
     df, docs = np.zeros(FEATURES, np.int64), 0
-    for r in texts.mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in texts.mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         if r["feature"] < 0:
             docs = r["n"]
         else:
@@ -150,8 +150,9 @@ def fit(docs: DataFrame) -> Model:
 
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = known.select("doc_id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= FIT_DOCS).select("doc_id", "lang").limit(FIT_DOCS * LANGUAGES_MAX)
-    rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).orderBy(F.xxhash64("doc_id"), "doc_id", "lang")
-    return Model(idf, [(r["text"], r["lang"]) for r in rows.toLocalIterator() if has_letter(r["text"])])
+    rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).withColumn("h", F.xxhash64("doc_id"))
+    sample = sorted(rows.collect(), key=lambda r: (r["h"], r["doc_id"] is None, r["doc_id"], r["lang"]))  # FIT_DOCS rows a language at most
+    return Model(idf, [(r["text"], r["lang"]) for r in sample if has_letter(r["text"])])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

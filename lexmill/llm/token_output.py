@@ -59,7 +59,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     last = ids.agg(F.max("h")).first()[0] or 0
     some = docs.select("doc_id", "text").where(F.xxhash64("doc_id") <= F.lit(last)).limit(2 * SAMPLE_DOCS)
     samples, total = [], 0
-    for r in encoded(some, tokenizer, end_id).toLocalIterator():
+    for r in encoded(some, tokenizer, end_id).collect():  # the sample
         if total + len(r["ids"]) > 4 * SAMPLE_IDS:
             continue
         samples.append(bytes(r["ids"]))
@@ -166,7 +166,7 @@ def read_back(table: DataFrame, dictionary: bytes) -> DataFrame:
     Only the blocks' totals, one number for 4 MB of frames, reach the driver.
     """
     starts, total = {}, 0
-    for r in table.select("part", "block", "n_tokens").orderBy("part", "block").toLocalIterator():
+    for r in sorted(table.select("part", "block", "n_tokens").collect()):
         starts[r["part"], r["block"]] = total
         total += r["n_tokens"]
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])

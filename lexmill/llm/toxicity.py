@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for y, most in ((1, FIT_TOXIC), (0, FIT_ORDINARY)):
         ids = known.where(F.col("toxic") == y).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         some = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-        own[y] = [r["text"] for r in some.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator()]
+        own[y] = [r["text"] for r in sorted(some.withColumn("h", F.xxhash64("doc_id")).collect(), key=lambda r: (r["h"], r["doc_id"]))]  # ``most`` rows at most
     return Model(own[1], own[0])
 
 
