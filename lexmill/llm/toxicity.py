@@ -40,7 +40,8 @@ def segments(text: str) -> set[bytes]:
 
 
 def train_segments(own: list[str], other: list[str]) -> list[bytes]:
-    """Word beginnings that tell own texts from others, the most telling first, each as far as most of its words go on alike.
+    """Word beginnings that tell own texts from others, the most telling first, each as far as most of its
+    words go on alike, 2 * START bytes at most (longer ones would match inside other words).
 
     One that few own texts have is left out, as a family of copies alone could make it.
     """
@@ -68,7 +69,7 @@ def train_segments(own: list[str], other: list[str]) -> list[bytes]:
     for t in own:
         for x in distinct_words(t):
             if x[:START] in forms:
-                forms[x[:START]].update((x + _LINE)[:n] for n in range(START, len(x) + len(_LINE) + 1))
+                forms[x[:START]].update((x + b"\n")[:n] for n in range(START, min(2 * START, len(x) + 1) + 1))
     return [max((x for x, n in forms[w].items() if 2 * n > forms[w][w]), key=len) for w in kept]
 
 
