@@ -30,22 +30,49 @@ VERIFY_COST = 40
 SEEN_MAX = 1_000_000
 
 
-def shingle_sets(column: pa.Array, k: int = SHINGLE):
-    """The distinct hashes of the k-word shingles of every text of an Arrow column, in order; of the whole text if it has fewer words."""
+def shingle_slices(column: pa.Array, k: int = SHINGLE):
+    """Per slice of an Arrow column of texts: the rows' sets of k-word shingle hashes (of the whole text if it has fewer words), end to end, each in order, and their offsets."""
     for _, _, data, offs in slices(column):
         s, e, first = words(data, offs)
         h = word_hashes(data, s, e, lower=True)
-        g = gram_hashes(h, k)
-        short = span_hashes(h, first[:-1], first[1:])
-        for r, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            yield np.unique(g[a : b - k + 1]) if b - a >= k else short[r : r + 1] if b > a else short[:0]
+        n = np.diff(first)
+        count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+        at = np.concatenate(([0], np.cumsum(count)))
+        out = np.empty(at[-1], np.uint64)
+        row = np.repeat(np.arange(len(n)), n)
+        inner = np.flatnonzero((np.arange(len(h)) + k <= first[row + 1]) if len(h) else np.zeros(0, bool))
+        if len(inner):
+            out[at[row[inner]] + inner - first[row[inner]]] = gram_hashes(h, k)[inner]
+        few = np.flatnonzero((n > 0) & (n < k))
+        if len(few):
+            out[at[few]] = span_hashes(h, first[few], first[few + 1])
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if b - a > 1:
+                out[a:b].sort()
+        new = np.ones(len(out), bool)
+        new[1:] = out[1:] != out[:-1]
+        new[at[:-1][count > 0]] = True
+        yield out[new], np.concatenate(([0], np.cumsum(new)))[at]
+
+
+def classes_of(u: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One signed 64-bit id of each set u[at[i]:at[i + 1]]."""
+    total, odd = np.zeros(len(at) - 1, np.uint64), np.zeros(len(at) - 1, np.uint64)
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        m = mix(u)
+        with np.errstate(over="ignore"):
+            total[full] = np.add.reduceat(m, at[full])
+            odd[full] = np.bitwise_xor.reduceat(m * np.uint64(0xD6E8FEB86659FD93) ^ u, at[full])
+    with np.errstate(over="ignore"):
+        return mix(total + np.diff(at).astype(np.uint64) ^ mix(odd)).view(np.int64)
 
 
-def class_of(u: np.ndarray) -> int:
-    """One signed 64-bit id of a set."""
-    with np.errstate(over="ignore"):
-        x = mix(np.array([np.add.reduce(mix(u)) + np.uint64(len(u))], np.uint64) ^ mix(np.array([np.bitwise_xor.reduce(mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)))], np.uint64)))
-    return int(x.view(np.int64)[0])
+def shingle_sets(column: pa.Array, k: int = SHINGLE):
+    """The distinct hashes of every text, in order."""
+    for u, at in shingle_slices(column, k):
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield u[a:b]
 
 
 def least_overlap(n: int, percent: int = PERCENT) -> int:
@@ -91,11 +118,12 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
         often = np.zeros(COUNTERS, np.uint32)
         for b in batches:
             n, c = [], []
-            for u in shingle_sets(b.column(1)):
-                n.append(len(u))
-                c.append(class_of(u))
-                np.add.at(often, (u & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-            yield batch(first, b.column(0), n, c, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()))
+            for u, at in shingle_slices(b.column(1)):
+                n.append(np.diff(at))
+                c.append(classes_of(u, at))
+                often += np.bincount((u & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            if n:
+                yield batch(first, b.column(0), np.concatenate(n), np.concatenate(c), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary()))
         z, none = zstandard.ZstdCompressor(level=1), [None] * 16
         yield batch(first, none, none, none, [*range(16)], [z.compress(x.tobytes()) for x in often.reshape(16, -1)])
 
@@ -110,18 +138,18 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
         seen: set[int] = set()
         for b in batches:
             t, c, m, size = [], [], [], 0
-            for u in shingle_sets(b.column(0)):
-                q = class_of(u)
-                if not len(u) or q in seen:
-                    continue
-                if len(seen) < SEEN_MAX:
-                    seen.add(q)
-                tokens, plain, n = prefix(u, often, usual, percent)
-                level = np.maximum(1, np.arange(2, len(tokens) + 2) - plain)
-                t.append(tokens)
-                c.append(np.full(len(tokens), q))
-                m.append(len(u) << 8 | level << 4 | n)
-                size += len(tokens)
+            for sets, at in shingle_slices(b.column(0)):
+                for q, i, j in zip(classes_of(sets, at).tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    if i == j or q in seen:
+                        continue
+                    if len(seen) < SEEN_MAX:
+                        seen.add(q)
+                    tokens, plain, n = prefix(sets[i:j], often, usual, percent)
+                    level = np.maximum(1, np.arange(2, len(tokens) + 2) - plain)
+                    t.append(tokens)
+                    c.append(np.full(len(tokens), q))
+                    m.append((j - i) << 8 | level << 4 | n)
+                    size += len(tokens)
                 if size > 100_000:
                     yield batch(posted, np.concatenate(t).view(np.int64), np.concatenate(c), np.concatenate(m))
                     t, c, m, size = [], [], [], 0
@@ -197,7 +225,8 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
         def texts(batches):
             seen: set[int] = set()
             for b in batches:
-                c = np.array([class_of(u) for u in shingle_sets(b.column(0))], np.int64)
+                parts = [classes_of(u, at) for u, at in shingle_slices(b.column(0))]
+                c = np.concatenate(parts) if parts else np.zeros(0, np.int64)
                 at = [i for i in np.flatnonzero(wanted.has(c.view(np.uint64))) if not (c[i] in seen or (len(seen) < SEEN_MAX and seen.add(int(c[i]))))]
                 for i in range(0, len(at), 500):
                     yield batch(body, c[at[i : i + 500]], b.column(0).take(pa.array(at[i : i + 500], pa.int64())))
