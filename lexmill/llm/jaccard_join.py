@@ -253,7 +253,8 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
         return out
 
     def best(pairs: DataFrame, keys: list[str], most: int) -> DataFrame:
-        """For each key the ``most`` pairs that share most tokens."""
+        """For each key the ``most`` pairs that share most tokens, of those with a fifth of the shorter prefix in common; the rest is for the last step."""
+        pairs = pairs.where(5 * F.col("shared") >= F.least(n("am") - suffix("am"), n("bm") - suffix("bm")))
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("shared"), "a", "b"))
         return materialize(pairs.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b"), "jaccard-pairs")
 
