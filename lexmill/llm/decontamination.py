@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of ASCII letters and digits and of bytes beyond ASCII, lower-cased
-(A-Z).  The n-grams of the test items are counted over the whole corpus; the
+Words are runs of letters and digits of the lower-cased text in compatibility
+form, so that other spaces, marks and forms of a letter make no difference.  The n-grams of the test items are counted over the whole corpus; the
 rarest ``RARE`` of each item are its seeds.  Passages around seeds are aligned
 with the item word by word, which finds edited and paraphrased copies too.
 """
@@ -9,6 +9,8 @@ with the item word by word, which finds edited and paraphrased copies too.
 from __future__ import annotations
 
 import itertools
+import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,20 @@ SEED, RARE, LEAK, ITEM_WORDS, ITEMS = 4, 0.75, 0.5, 8, 20_000
 #: Alignment: a match adds 1, a mismatch and a word left out take 1.
 GAP = 1
 
+#: What is beyond ASCII and no letter or digit; format characters (zero-width ones) are taken out.
+_FORMAT = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_BEYOND = re.compile(r"[^\w\x00-\x7f]")
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+def plain(text: str | None) -> str:
+    """The text as it is compared: compatibility form, lower case, marks and spaces beyond ASCII as spaces."""
+    if not text or text.isascii():
+        return text or ""
+    return _BEYOND.sub(" ", _FORMAT.sub("", unicodedata.normalize("NFKC", text)).lower())
+
+
 def plain_words(data: np.ndarray, offs: np.ndarray):
     """Word hashes and the first word of each row."""
     s, e, first = common.words(np.where(_APART[data], np.uint8(32), data), offs)
@@ -59,7 +71,7 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str]):
         self.ids, self.words = [], []
         for i, t in zip(ids, texts, strict=True):
-            data = np.frombuffer((t or "").encode(), np.uint8)
+            data = np.frombuffer(plain(t).encode(), np.uint8)
             h, _ = plain_words(data, np.array([0, len(data)]))
             if len(h) >= ITEM_WORDS:
                 self.ids.append(i)
@@ -95,7 +107,7 @@ class Items:
 
 
 def _grams(column):
-    for i, _, data, offs in slices(column):
+    for i, _, data, offs in slices(pa.array(map(plain, column.to_pylist()), pa.large_string())):
         h, first = plain_words(data, offs)
         g = gram_hashes(h, SEED)
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
