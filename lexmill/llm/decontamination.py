@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits of the lower-cased text in compatibility
-form, so that other spaces, marks and forms of a letter make no difference.  The n-grams of the test items are counted over the whole corpus; the
-rarest ``RARE`` of each item are its seeds.  Passages around seeds are aligned
-with the item word by word, which finds edited and paraphrased copies too.
+form, so that other spaces, marks and forms of a letter make no difference.  Every n-gram of an item is a seed, however often
+the corpus has it, since an edited copy may have kept any one of them.  Passages around seeds that share enough words
+with the item are aligned with it word by word, which finds edited and paraphrased copies too.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import common
 from .common import batch, gram_hashes, slices, word_hashes
 
-#: Words of a seed, share of an item's n-grams (rarest first) that are seeds, least score of a leak, least words of an item, items in a block.
-SEED, RARE, LEAK, ITEM_WORDS, ITEMS = 4, 0.75, 0.5, 8, 20_000
+#: Words of a seed, least score of a leak, least words of an item, items in a block.
+SEED, LEAK, ITEM_WORDS, ITEMS = 4, 0.5, 8, 20_000
 #: Alignment: a match adds 1, a mismatch and a word left out take 1.
 GAP = 1
 
@@ -95,16 +95,6 @@ class Items:
         k = np.minimum(np.searchsorted(self.distinct, g[at]), len(self.distinct) - 1)
         return at[self.distinct[k] == g[at]]
 
-    def keep_rare(self, often: dict[int, int]) -> None:
-        """Leaves each item its rarest n-grams by the counts of the corpus."""
-        n = np.array([often.get(int(x), 0) for x in self.gram.view(np.int64)], np.int64)
-        order = np.lexsort((self.gram, n, self.item))
-        item = self.item[order]
-        rank = np.arange(len(item)) - np.searchsorted(item, item, "left")
-        size = np.searchsorted(item, item, "right") - np.searchsorted(item, item, "left")
-        ok = rank < np.maximum(1, np.ceil(RARE * size))
-        self.set(self.gram[order][ok], item[ok])
-
 
 def _grams(column):
     for i, _, data, offs in slices(pa.array(map(plain, column.to_pylist()), pa.large_string())):
@@ -121,30 +111,14 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     once for each row of docs.  Items of fewer than ITEM_WORDS words are not
     searched (too short to tell); null or empty texts match nothing; an empty side
     gives no rows; other columns are not read.  Items reach the executors in blocks
-    of a fixed number, counts of the corpus only for a block's n-grams.
+    of a fixed number.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     source, parts = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator(), []
-    one = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
     out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())])
     while part := [*itertools.islice(source, ITEMS)]:
         block = Items([r[0] for r in part], [r[1] for r in part])
-        every = spark.sparkContext.broadcast(block)
-
-        def count(batches, every=every):
-            b_ = every.value
-            n = np.zeros(len(b_.distinct), np.int64)
-            for b in batches:
-                for _, _, first, row, g in _grams(b.column(0)):
-                    at = b_.found(g)
-                    at = at[at + SEED <= first[row[at] + 1]] if len(at) else at
-                    np.add.at(n, np.searchsorted(b_.distinct, g[at]), 1)
-            k = np.flatnonzero(n)
-            yield batch(one, b_.distinct[k].view(np.int64), n[k])
-
-        often = {r["gram"]: r["n"] for r in rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-        block.keep_rare(often)
         seeds = spark.sparkContext.broadcast(block)
 
         def match(batches, seeds=seeds):
@@ -170,8 +144,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                                 last = p
                                 continue
                             a, z = max(a0, start - len(x)), min(z0, last + SEED + len(x))
-                            s, u, v = align(x, h[a:z])
-                            best = max(best, (s, int(u + a - a0), int(v + a - a0)), key=lambda t: t[0])
+                            if np.isin(x, h[a:z]).sum() >= LEAK * len(x):  # no score is above the words in common
+                                s, u, v = align(x, h[a:z])
+                                best = max(best, (s, int(u + a - a0), int(v + a - a0)), key=lambda t: t[0])
                             start = last = p
                         if best[0] >= LEAK * len(x):
                             found.append((i + r, b_.ids[item], best[0] / len(x), best[1], best[2]))

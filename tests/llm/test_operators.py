@@ -222,6 +222,20 @@ def test_decontamination_finds_edited_copies(spark, odd_texts):
     assert leaks(table(spark, texts), items.limit(0)).count() == 0 and leaks(table(spark, texts).limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("others", [0, 30])
+def test_decontamination_finds_copies_with_one_word_in_five_replaced(spark, others):
+    from lexmill.llm.decontamination import leaks
+
+    rng = random.Random(16)
+    items = [prose(rng, n).split() for n in (15, 40, 59)]
+    edit = lambda w: " ".join(x if i % 5 != 4 else f"other{i}" for i, x in enumerate(w))
+    texts = [f"{prose(rng, 30)} {edit(w)} {prose(rng, 30)}" for w in items]
+    texts += [" ".join(w) for w in items] * others + [edit(w) for w in items] * others + [prose(rng, 200)]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(table(spark, texts), rows).collect()}
+    assert got == {(i, i % 3) for i in range(len(texts) - 1)}
+
+
 def test_secret_scan(spark, odd_texts):
     from pyspark.sql import functions as F
 
