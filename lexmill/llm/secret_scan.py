@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Words this long that have a digit or mix cases are candidates; votes that make a secret; trees and their depth.
 LEAST, VOTES, TREES, DEPTH = 16, 0.5, 20, 5
 MASK = "<secret>"
+#: A run and what comes before it since the last one; so much of that is looked at.
+PIECE, NEAR = r"(?s)\G(.*?)([A-Za-z0-9+/_\-.~%@:]{16,}={0,2})", 64
 #: Words whose presence inside a candidate speaks against randomness.
 DICTIONARY = "about access account action admin after agent alpha and api app archive article asset auth base beta block blog book build bundle button cache call camera cell center change chapter check class click client cloud code color column comment common component config contact content control copy core count create data date debug default delete demo design detail dev device document domain download draft edit editor element email end engine entry error event example export feature field file filter final first folder font footer for form format from front full function get group guide header help hidden hidden home host house http image import index info inner input install item java key label language last layout left level library light line link list load local login main manager map master media member menu message method mobile model module month name new news next node note number object old open option order package page panel parent part password path pattern photo plan player plugin point policy post press preview private process product profile project public query quick read record release report request resource response result review right root route row rule sample screen script search section select server service session set setting shell show side site size small source special src start state static status step story style summary support system table tag task team template test text that the theme thread time title token tool top total track type unit update upload url user util value version video view web week widget window with word work world year".split()
 #: Words before a candidate that announce a secret, or a harmless identifier.
@@ -24,9 +26,26 @@ HARMLESS = "(?i)(commit|sha\\d*|md5|hash|checksum|digest|uuid|guid|version|revis
 FEATURES = ("length", "digits", "uppers", "transitions", "distinct", "dictionary", "path", "announced", "harmless", "assigned", "shape", "run")
 
 
-def candidate_of(word: Column) -> Column:
-    """The longest run of a word that can be a secret, without quotes and marks around it; a name before = or : is cut off."""
-    return F.regexp_extract(F.regexp_replace(word, "^[A-Za-z_.\\-]{1,40}[=:]+(?=.{16})", ""), "[A-Za-z0-9+/_\\-.~%@:]{16,}={0,2}", 0)
+def parts_of(word: Column, before: Column) -> Column:
+    """What runs needs of a word: itself, the words before, its runs and the text before each run."""
+    return F.struct(word.alias("word"), before.alias("before"), F.regexp_extract_all(word, F.lit(PIECE), F.lit(1)).alias("gaps"), F.regexp_extract_all(word, F.lit(PIECE), F.lit(2)).alias("runs"))
+
+
+def runs(p: Column) -> Column:
+    """array<struct<secret,word,before>> of every run of parts_of that can be a secret; a name before = or : is cut off.
+
+    before is the field's name where one is assigned, or else the end of what comes
+    before the run in its word; the first run has the words before as well.
+    """
+
+    def one(r, k):
+        tail = F.right(F.concat(F.when(k > 0, F.element_at(p["runs"], F.greatest(k, F.lit(1)))).otherwise(""), F.element_at(p["gaps"], k + 1)), F.lit(NEAR))
+        name = F.regexp_extract(tail, "[A-Za-z0-9_.\\-]+[\"'\\\\]*[=:]+[\"'\\\\(\\[{<]*$", 0)
+        near = F.regexp_replace(F.when(name != "", name).otherwise(tail), "[\"'`\\\\(\\[{<]+$", "")
+        first = F.coalesce(F.when(k == 0, p["before"]), F.lit(""))
+        return F.struct(F.regexp_replace(r, "^[A-Za-z_.\\-]{1,40}[=:]+(?=.{16})", "").alias("secret"), r.alias("word"), F.when(near == "", first).when(first == "", near).otherwise(F.concat_ws(" ", first, near)).alias("before"))
+
+    return F.transform(p["runs"], one)
 
 
 def is_candidate(word: Column) -> Column:
@@ -97,8 +116,10 @@ def fit(findings: DataFrame) -> str:
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    f = features(candidate_of(F.col("word")), F.col("word"), F.col("before"))
-    data = findings.where("word is not null and secret is not null").select(array_to_vector(F.array(*[x.cast("double") for x in f])).alias("features"), F.col("secret").cast("double").alias("label")).repartition(2)
+    f = features(F.col("_f.secret"), F.col("_f.word"), F.col("_f.before"))
+    found = findings.where("word is not null and secret is not null").withColumn("_p", parts_of(F.col("word"), F.col("before")))
+    found = found.withColumn("_f", F.coalesce(F.try_element_at(runs(F.col("_p")), F.lit(-1)), F.struct(F.col("word").alias("secret"), F.col("word"), F.col("before"))))
+    data = found.select(array_to_vector(F.array(*[x.cast("double") for x in f])).alias("features"), F.col("secret").cast("double").alias("label")).repartition(2)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=5, featureSubsetStrategy="sqrt").fit(data).toDebugString
 
 
@@ -133,12 +154,12 @@ def scan(docs: DataFrame, forest: str) -> DataFrame:
     def finding(i):
         word = F.element_at("_w", i)
         first = F.greatest(i - 3, F.lit(1))
-        return F.struct(candidate_of(word).alias("secret"), word.alias("word"), F.array_join(F.slice("_w", first, i - first), " ").alias("before"))
+        return parts_of(word, F.array_join(F.slice("_w", first, i - first), " "))
 
-    found = F.filter(F.transform("_at", finding), lambda f: F.length(f["secret"]) >= LEAST)
+    found = F.filter(F.flatten(F.transform("_p", runs)), lambda f: F.length(f["secret"]) >= LEAST)
     scored = F.transform("_x", lambda f: F.struct(f["secret"].alias("secret"), f["word"].alias("word"), f["before"].alias("before"), F.array(*[x.cast("double") for x in features(f["secret"], f["word"], f["before"])]).alias("x")))
     judged = F.transform("_y", lambda f: F.struct(f["secret"].alias("secret"), f["before"].alias("before"), votes(forest, f["x"]).alias("votes")))
-    rows = rows.withColumn("_x", found).withColumn("_y", scored).withColumn("findings", judged)
+    rows = rows.withColumn("_p", F.transform("_at", finding)).withColumn("_x", found).withColumn("_y", scored).withColumn("findings", judged)
     secrets = F.array_sort(F.array_distinct(F.transform(F.filter("findings", lambda f: f["votes"] > VOTES), lambda f: f["secret"])), lambda a, b: F.length(b) - F.length(a))
     masked = F.aggregate(secrets, F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK)))
     return rows.withColumn("masked", masked).select(*[F.col(f"`{c}`") for c in kept], "findings", "masked")
