@@ -18,7 +18,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def char_ngrams(text: Column, n: Column) -> Column:
     """Distinct character n-grams of the text without white space."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\x1C-\x1F]", "")
-    return F.when((F.length(t) >= n) & (n > 0), F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, n)))).otherwise(F.array().cast("array<string>"))
+    every = F.regexp_extract_all(t, F.concat(F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1))  # one pass; substring would count from the start each time
+    return F.when((F.length(t) >= n) & (n > 0), F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -31,15 +32,22 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def ngram_pairs(docs: DataFrame, threshold: float, n: int = 3) -> DataFrame:
-    """(a, b, similarity) of documents whose n-gram sets are similar, by an equi-join on the n-grams (no cross join)."""
+    """(a, b, similarity) of documents whose n-gram sets are similar, by an equi-join on n-grams (no cross join).
+
+    The sets are ordered by the number of documents with an n-gram: similar ones
+    share one of the first size - ceil(threshold * size) + 1, so only these are joined.
+    """
     grams = docs.select("id", F.explode(char_ngrams(F.col("content"), F.lit(n))).alias("g"))
-    size = grams.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
-    sized = grams.join(size, "id")
-    a, b = sized.select(F.col("id").alias("a"), "g", F.col("size").alias("na")), sized.select(F.col("id").alias("b"), "g", F.col("size").alias("nb"))
-    pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
-    both = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    sim = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    return both.select("a", "b", F.round(sim, 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    often = grams.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
+    sets = grams.join(often, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "g"))).alias("s")).select("id", F.col("s.g").alias("s"), F.size("s").alias("size"))
+    least = F.ceil((threshold - 1e-6) * F.col("size")).cast("int")  # the similarity is rounded to six places
+    first = sets.select("id", "size", F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(0), F.least(F.col("size"), F.col("size") - least + 1)))).alias("g"))
+    a, b = (first.select(F.col("id").alias(x), "g", F.col("size").alias(f"n{x}")) for x in "ab")
+    pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= (threshold - 1e-6) * F.greatest("na", "nb"))).select("a", "b").distinct()
+    sa, sb = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    sim = both / (F.size("sa") + F.size("sb") - both)
+    return pairs.join(sa, "a").join(sb, "b").select("a", "b", F.round(sim, 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 @F.pandas_udf(T.LongType())

@@ -271,7 +271,7 @@ def sim_hash64(spark, sf):
 
 @query()
 def sim_pairs(spark, sf):
-    return M.find_similar(documents(spark, sf).where(F.length("content") < 1500), 0.7)
+    return M.find_similar(documents(spark, sf), 0.7)
 
 
 @query(sql("SELECT a.vec_id AS a, a.label, CAST(bit_count(xor(CAST(a.vec_id * 2654435761 AS BIGINT), CAST(a.label * 40503 AS BIGINT))) AS INTEGER) AS distance FROM embeddings a"))

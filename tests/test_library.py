@@ -176,3 +176,22 @@ def test_plans_have_no_accidental_products(spark):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
     scan = QUERIES["flt_dispatch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in scan
+
+
+def store(spark, contents, first_id=0):
+    rows = [(first_id + i, c) for i, c in enumerate(contents)]
+    return lambda *_: spark.createDataFrame(rows, "id long, content string")
+
+
+def test_sim_pairs_reads_documents_of_any_length(spark, monkeypatch):
+    from lexmill.plans import corpus
+
+    rng = random.Random(21)
+    base = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(500)) for _ in range(4)]
+    texts = [v for t in base for v in (t, t[:-300] + t[:300], t[: len(t) * 2 // 3])] + ["short text", "short texts", ""]
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in (t.replace(" ", "") for t in texts)]
+    want = {(i, j): round(len(a & b) / len(a | b), 6) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a | b}
+    want = {k: v for k, v in want.items() if v >= 0.7}
+    monkeypatch.setattr(corpus, "documents", store(spark, texts))
+    got = {(r["a"], r["b"]): r["similarity"] for r in corpus.QUERIES["sim_pairs"](spark, "").collect()}
+    assert got == want and any(len(texts[i]) > 1500 for i, _ in got)
