@@ -281,8 +281,7 @@ def sim_hamming(spark, sf):
 
 @query()
 def sim_diff_lines(spark, sf):
-    d = documents(spark, sf).where("id < 200")
-    pairs = d.select("id", "content").withColumn("new", F.regexp_replace("content", "(?m)^(.{5}).*$", "$1"))
+    pairs = documents(spark, sf).select("id", "content").withColumn("new", F.regexp_replace("content", "(?m)^(.{5}).*$", "$1"))
     return pairs.select("id", F.explode(M.line_ops("content", "new")).alias("x")).select("id", "x.*")
 
 

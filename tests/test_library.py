@@ -195,3 +195,11 @@ def test_sim_pairs_reads_documents_of_any_length(spark, monkeypatch):
     monkeypatch.setattr(corpus, "documents", store(spark, texts))
     got = {(r["a"], r["b"]): r["similarity"] for r in corpus.QUERIES["sim_pairs"](spark, "").collect()}
     assert got == want and any(len(texts[i]) > 1500 for i, _ in got)
+
+
+def test_sim_diff_lines_reads_every_id(spark, monkeypatch):
+    from lexmill.plans import corpus
+
+    monkeypatch.setattr(corpus, "documents", store(spark, ["short\nlonger line\nend"], first_id=5000))
+    got = [(r["id"], r["op"]) for r in corpus.QUERIES["sim_diff_lines"](spark, "").collect()]
+    assert got == [(5000, "equal"), (5000, "replace"), (5000, "equal")]
