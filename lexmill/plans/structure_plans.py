@@ -26,7 +26,7 @@ def txt_normalize(spark, sf):
 @query()
 def con_check(spark, sf):
     """Registers' titles with planted inconsistent writings, one in each document."""
-    d = documents(spark, sf).select("id", F.concat(F.lit("2026年10月至2025年3月，应在3个工作日内反馈，逾期三个工作日。"), F.substring("content", 1, 200)).alias("content"))
+    d = documents(spark, sf).select("id", F.concat(F.lit("2026年10月至2025年3月，应在3个工作日内反馈，逾期三个工作日。"), F.col("content")).alias("content"))
     return K.check(d).select("id", "kind", "first", "variant")
 
 
@@ -79,7 +79,7 @@ def win_heading_chain(spark, sf):
         for pdf in frames:
             rows = []
             for i, t in zip(pdf["id"], pdf["content"], strict=True):
-                rows += [(i, at, problem) for at, problem in S.heading_chain([(1 + len(x) % 3, len(x) % 5) for x in (t or "").split("\n")[:20]])]
+                rows += [(i, at, problem) for at, problem in S.heading_chain([(1 + len(x) % 3, len(x) % 5) for x in (t or "").split("\n")])]
             yield pd.DataFrame(rows, columns=["id", "position", "problem"])
 
     return documents(spark, sf).select("id", "content").mapInPandas(run, "id long, position int, problem string")

@@ -203,3 +203,13 @@ def test_sim_diff_lines_reads_every_id(spark, monkeypatch):
     monkeypatch.setattr(corpus, "documents", store(spark, ["short\nlonger line\nend"], first_id=5000))
     got = [(r["id"], r["op"]) for r in corpus.QUERIES["sim_diff_lines"](spark, "").collect()]
     assert got == [(5000, "equal"), (5000, "replace"), (5000, "equal")]
+
+
+def test_consistency_and_headings_read_whole_texts(spark, monkeypatch):
+    from lexmill.plans import structure_plans as P
+
+    monkeypatch.setattr(P, "documents", store(spark, ["x" * 300 + "共30人，又三十人。", "\n".join(["a"] * 30 + ["aaaa"])]))
+    got = {(r["id"], r["first"], r["variant"]) for r in P.QUERIES["con_check"](spark, "").collect()}
+    assert (0, "30人", "三十人") in got
+    got = [(r["position"], r["problem"]) for r in P.QUERIES["win_heading_chain"](spark, "").where("id = 1").collect()]
+    assert got == [(0, "level jump"), (30, "skipped")]
