@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import materialize, read_table, shared_dir
@@ -25,19 +25,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of linked documents: the first by doc_id, then by text."""
-    from lexmill.llm.jaccard_join import jaccard_components
-
-    group = materialize(jaccard_components(docs), "pipeline-groups")
-    gone = group.where("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    # rows that share the doc_id that stays: copies of it are linked too; equal rows are one
-    again = group.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    first = Window.partitionBy("doc_id").orderBy("text", F.col("lang"), F.col("source"))
-    repeated = left.join(again, "doc_id", "left_semi").where("text is not null and text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    single = left.join(again, "doc_id", "left_anti")
-    empty = left.join(again, "doc_id", "left_semi").where("text is null or not text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return single.select(*docs.columns).union(repeated.select(*docs.columns)).union(empty.select(*docs.columns))
+    """Keeps one row of each group of linked documents, that of the least doc_id; rows are decided, not ids."""
+    from lexmill.llm.jaccard_join import one_of_each
+
+    return one_of_each(docs).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,23 +1,35 @@
 """Similarity self-join of shingle sets with adaptive multi-match prefixes.
 
 Sets are ordered by estimated corpus frequency, rarest first.  A pair with
-Jaccard similarity of at least t overlaps in ceil(t |x|) tokens or more, so for
-every l both l-prefixes (|x| - ceil(t |x|) + l tokens) share l tokens.  Each
-document lengthens its prefix to the l of least estimated cost; a pair is a
-candidate if it shares min(l_x, l_y) tokens of the prefixes of that length.
-
-Equal sets are one class.  Candidates are verified in steps so that a large group
-of near copies never makes all of its pairs: first each class with the one pivot
-(the least class that shares a token) it shares most with, then components by the
-end classes of their tokens, then every candidate pair whose ends are not
-connected yet, which also must share enough prefix tokens for its sizes.
+Jaccard similarity of at least t overlaps in o = ceil(t / (1 + t) (|x| + |y|))
+tokens or more, so for every l the prefixes of |x| - o + l and |y| - o + l tokens
+share l tokens.  Each document lengthens its prefix to the l of least estimated
+cost (as far as any partner's size can ask for); a pair is a candidate if it
+shares min(l_x, l_y) tokens in the prefixes of that length for its two sizes.
+
+Equal sets are one class.  Links are found in steps so that a large group of near
+copies never makes all of its pairs:
+
+1. Rounds of pivots: of each token's classes the one whose prefix is most shared
+   (an original rather than its edits) is the pivot, and every class is verified
+   against the best pivots of its tokens.  Rounds go on, with other pivots, while
+   they connect components.
+2. What tokens still hold classes of two components is joined exactly.  A token's
+   place in a prefix bounds the partner's size from both sides, so the join is
+   keyed by token and a fine size band; a row whose token stands too late for any
+   smaller or larger partner meets nothing.
+
+Sets that take part are written once; a verification sends each set to its pivot,
+whose own set goes once to each of the pivot's parts.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, bloom_of, components, gram_hashes, materialize, mix, no_rows, release, slices, span_hashes, word_hashes, words
@@ -28,6 +40,10 @@ SHINGLE, PERCENT, MATCHES_MAX, COUNTERS = 5, 75, 4, 1 << 18
 VERIFY_COST = 40
 #: Classes whose prefixes a task remembers, so that it does not emit copies again.
 SEEN_MAX = 1_000_000
+#: Pivots that a class is verified against in a round; rounds go on while they link this share of the classes left.
+PIVOTS, WORTH = 2, 0.01
+#: Ratio of neighbouring size bands; verifications that share one copy of a pivot's set.
+BAND, PART = 1.06, 512
 
 
 def shingle_slices(column: pa.Array, k: int = SHINGLE):
@@ -55,24 +71,29 @@ def shingle_slices(column: pa.Array, k: int = SHINGLE):
         yield out[new], np.concatenate(([0], np.cumsum(new)))[at]
 
 
-def classes_of(u: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One signed 64-bit id of each set u[at[i]:at[i + 1]]."""
-    total, odd = np.zeros(len(at) - 1, np.uint64), np.zeros(len(at) - 1, np.uint64)
-    full = np.flatnonzero(np.diff(at))
-    if len(full):
-        m = mix(u)
-        with np.errstate(over="ignore"):
-            total[full] = np.add.reduceat(m, at[full])
-            odd[full] = np.bitwise_xor.reduceat(m * np.uint64(0xD6E8FEB86659FD93) ^ u, at[full])
-    with np.errstate(over="ignore"):
-        return mix(total + np.diff(at).astype(np.uint64) ^ mix(odd)).view(np.int64)
+class Ids:
+    """Signed 64-bit ids of sets; those in ``bad``, which several sets share, are made anew with the sets' check values."""
 
+    def __init__(self, bits: int = 64, bad: frozenset[int] = frozenset()):
+        self.bits, self.bad = bits, bad
 
-def shingle_sets(column: pa.Array, k: int = SHINGLE):
-    """The distinct hashes of every text, in order."""
-    for u, at in shingle_slices(column, k):
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            yield u[a:b]
+    def of(self, u: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and the independent check values of the sets u[at[i]:at[i + 1]]."""
+        n = len(at) - 1
+        total, odd, other = (np.zeros(n, np.uint64) for _ in range(3))
+        full = np.flatnonzero(np.diff(at))
+        with np.errstate(over="ignore"):
+            if len(full):
+                m = mix(u)
+                total[full] = np.add.reduceat(m, at[full])
+                odd[full] = np.bitwise_xor.reduceat(m * np.uint64(0xD6E8FEB86659FD93) ^ u, at[full])
+                other[full] = np.add.reduceat(m * (u | np.uint64(1)), at[full])
+            ids = mix(total + np.diff(at).astype(np.uint64) ^ mix(odd)) >> np.uint64(64 - self.bits)
+            check = mix(other ^ mix(total))
+            if self.bad:
+                twice = np.flatnonzero(np.isin(ids.view(np.int64), np.fromiter(self.bad, np.int64, len(self.bad))))
+                ids[twice] = mix(ids[twice] ^ mix(check[twice]))
+        return ids.view(np.int64), check.view(np.int64)
 
 
 def least_overlap(n: int, percent: int = PERCENT) -> int:
@@ -107,48 +128,54 @@ def _sketch(parts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, class) of every row, and (node, component) of the classes that have links."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    first = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+# ---------------------------------------------------------------- postings
+# meta packs a posting's set size, the token's place in the prefix (from 0) and the matches that the set asks for.
 
-    def describe(batches):
-        import zstandard
 
-        often = np.zeros(COUNTERS, np.uint32)
-        for b in batches:
-            n, c = [], []
-            for u, at in shingle_slices(b.column(1)):
-                n.append(np.diff(at))
-                c.append(classes_of(u, at))
-                often += np.bincount((u & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-            if n:
-                yield batch(first, b.column(0), np.concatenate(n), np.concatenate(c), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary()))
-        z, none = zstandard.ZstdCompressor(level=1), [None] * 16
-        yield batch(first, none, none, none, [*range(16)], [z.compress(x.tobytes()) for x in often.reshape(16, -1)])
+def _size(meta: str | Column) -> Column:
+    return F.shiftright(meta, 32)
 
-    described = materialize(rows.mapInArrow(describe, "doc_id long, n_shingles long, class long, block int, counts binary"), "jaccard-docs")
-    often = _sketch(described.where("block is not null").select("block", "counts"))
-    usual = int(np.median(often))
-    members = described.where("block is null").select("doc_id", "n_shingles", "class")
 
+def _place(meta: str | Column) -> Column:
+    return F.shiftright(meta, 4).bitwiseAND((1 << 28) - 1)
+
+
+def _asked(meta: str | Column) -> Column:
+    return (F.col(meta) if isinstance(meta, str) else meta).bitwiseAND(15)
+
+
+def _partner(meta: str | Column, percent: int) -> Column:
+    """The largest partner for which the token stands early enough: o <= size - place + asked - 1."""
+    room = _size(meta) - _place(meta) + _asked(meta) - 1
+    return F.floor((100 + percent) * room / percent).cast("long") - _size(meta)
+
+
+def _fits(a: str | Column, b: str | Column, percent: int) -> Column:
+    """Whether a shared token counts for two postings: sizes that can be similar, places within the prefixes of that pair."""
+    n, m, asked = _size(a), _size(b), F.least(_asked(a), _asked(b))
+    overlap = F.ceil(percent * (n + m) / (100 + percent))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_place(a) < n - overlap + asked) & (_place(b) < m - overlap + asked)
+
+
+def _postings(rows: DataFrame, often: np.ndarray, ids: Ids, percent: int) -> DataFrame:
+    """(token, class, meta) of the lengthened prefixes, for the tokens that two or more classes have."""
+    usual = int(np.median(often))
     posted = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("meta", pa.int64())])
 
-    def postings(batches):
+    def emit(batches):
         seen: set[int] = set()
         for b in batches:
             t, c, m, size = [], [], [], 0
             for sets, at in shingle_slices(b.column(0)):
-                for q, i, j in zip(classes_of(sets, at).tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                for q, i, j in zip(ids.of(sets, at)[0].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     if i == j or q in seen:
                         continue
                     if len(seen) < SEEN_MAX:
                         seen.add(q)
-                    tokens, plain, n = prefix(sets[i:j], often, usual, percent)
-                    level = np.maximum(1, np.arange(2, len(tokens) + 2) - plain)
+                    tokens, _, n = prefix(sets[i:j], often, usual, percent)
                     t.append(tokens)
                     c.append(np.full(len(tokens), q))
-                    m.append((j - i) << 8 | level << 4 | n)
+                    m.append((j - i) << 32 | np.arange(len(tokens)) << 4 | n)
                     size += len(tokens)
                 if size > 100_000:
                     yield batch(posted, np.concatenate(t).view(np.int64), np.concatenate(c), np.concatenate(m))
@@ -156,140 +183,219 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
             if t:
                 yield batch(posted, np.concatenate(t).view(np.int64), np.concatenate(c), np.concatenate(m))
 
-    shared = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("meta", pa.int64()), ("pivot", pa.int64()), ("pivot_meta", pa.int64())])
-
-    def groups(batches):
-        """Of rows in order of token and class: the distinct ones whose token has two classes or more, with the token's first class."""
-        last = None  # the last distinct row and its group's first: not known yet whether it stands alone
-
-        def out(x, upto):
-            t, c, m = x
-            new = np.ones(len(t), bool)
-            new[1:] = t[1:] != t[:-1]
-            start = np.flatnonzero(new)
-            at = start[np.cumsum(new) - 1]
-            pc, pm = c[at], m[at]
-            inner = ~new
-            if last is not None and len(t) and last[1] is not None and t[0] == last[0][0]:  # the group began in an earlier batch
-                own = at == 0
-                pc[own], pm[own] = last[1]
-                inner[0] = bool(last[2])
-            keep = inner.copy()
-            keep[:-1] |= inner[1:]
-            return t, c, m, pc, pm, keep, (pc[-1], pm[-1]) if len(t) else None, inner
-
+    def shared(batches):
+        """Of rows in order of token and class, the distinct ones whose token has two classes or more; the last row waits for the next batch."""
+        last, joined = None, False  # the last distinct row, and whether the row before it had its token
         for b in batches:
             t, c, m = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if last is not None:
-                t, c, m = (np.concatenate(([x], y)) for x, y in zip(last[0], (t, c, m), strict=True))
+                t, c, m = (np.concatenate(([x], y)) for x, y in zip(last, (t, c, m), strict=True))
             one = np.ones(len(t), bool)
             one[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
             t, c, m = t[one], c[one], m[one]
             if not len(t):
                 continue
-            t, c, m, pc, pm, keep, pivot, inner = out((t, c, m), None)
-            done = np.flatnonzero(keep[:-1])
-            yield batch(shared, t[done], c[done], m[done], pc[done], pm[done])
-            last = ((t[-1], c[-1], m[-1]), pivot, inner[-1])
-        if last is not None and last[2]:
-            yield batch(shared, *([x] for x in (*last[0], *last[1])))
-
-    dealt = rows.select("text").mapInArrow(postings, "token long, class long, meta long").repartition("token").sortWithinPartitions("token", "class")
-    grouped = materialize(dealt.mapInArrow(groups, "token long, class long, meta long, pivot long, pivot_meta long"), "jaccard-postings")
-
-    n = lambda m: F.shiftright(m, 8)
-    asked = lambda m: F.col(m).bitwiseAND(15)
-
-    def suffix(m: str):
-        """Tokens of a set beyond its lengthened prefix."""
-        return F.expr(f"({percent} * shiftright({m}, 8) + 99) div 100") - asked(m)
-
-    def shared_tokens(df: DataFrame, a: str, am: str, b: str, bm: str, *keys: str) -> DataFrame:
-        """(a, b, sizes, shared, shared_asked) of pairs that sizes let be similar; df has a row for each shared token."""
-        least = F.least(asked(am), asked(bm))
-        level = F.greatest(F.shiftright(am, 4).bitwiseAND(15), F.shiftright(bm, 4).bitwiseAND(15))
-        fits = 100 * F.least(n(am), n(bm)) >= percent * F.greatest(n(am), n(bm))
-        return df.where(fits).groupBy(F.col(a).alias("a"), F.col(b).alias("b"), *keys).agg(F.count(F.lit(1)).alias("shared"), F.count(F.when(level <= least, 1)).alias("shared_asked"), F.max(am).alias("am"), F.max(bm).alias("bm"))
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Pairs that share as many tokens as both asked for, and enough for the rest of the smaller-ending set to make up the overlap."""
-        most = F.col("shared") + F.greatest(suffix("am"), suffix("bm"))
-        return pairs.where((F.col("shared_asked") >= F.least(asked("am"), asked("bm"))) & ((100 + percent) * most >= percent * (n("am") + n("bm"))))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs whose sets are similar, by whole texts of their classes."""
-        nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "jaccard-nodes")
-        wanted = bloom_of(nodes, "class", nodes.count())
-        body = pa.schema([("class", pa.int64()), ("text", pa.string())])
-
-        def texts(batches):
-            seen: set[int] = set()
-            for b in batches:
-                parts = [classes_of(u, at) for u, at in shingle_slices(b.column(0))]
-                c = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-                at = [i for i in np.flatnonzero(wanted.has(c.view(np.uint64))) if not (c[i] in seen or (len(seen) < SEEN_MAX and seen.add(int(c[i]))))]
-                for i in range(0, len(at), 500):
-                    yield batch(body, c[at[i : i + 500]], b.column(0).take(pa.array(at[i : i + 500], pa.int64())))
-
-        bodies = rows.select("text").mapInArrow(texts, "class long, text string").join(nodes, "class", "left_semi")
-        bodies = materialize(bodies.dropDuplicates(["class"]), "jaccard-texts")
-        both = pairs.select("a", "b").join(bodies.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(bodies.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        link = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def verify(batches):
+            inner = np.zeros(len(t), bool)
+            inner[1:] = t[1:] == t[:-1]
+            inner[0] = joined
+            done = np.flatnonzero(inner[:-1] | (t[1:] == t[:-1]))
+            yield batch(posted, t[done], c[done], m[done])
+            last, joined = (t[-1], c[-1], m[-1]), bool(inner[-1])
+        if joined:
+            yield batch(posted, *([x] for x in last))
+
+    dealt = rows.select("text").mapInArrow(emit, "token long, class long, meta long").repartition("token").sortWithinPartitions("token", "class")
+    return materialize(dealt.mapInArrow(shared, "token long, class long, meta long"), "jaccard-postings")
+
+
+# ---------------------------------------------------------------- verification
+
+
+def _sets(rows: DataFrame, nodes: DataFrame, ids: Ids) -> DataFrame:
+    """(class, set) of the classes in nodes: the set's hashes in order, as bytes; a copy or more of each."""
+    wanted = bloom_of(nodes, "class", nodes.count())
+    out = pa.schema([("class", pa.int64()), ("set", pa.binary())])
+
+    def emit(batches):
+        seen: set[int] = set()
+        for b in batches:
+            for u, at in shingle_slices(b.column(0)):
+                c = ids.of(u, at)[0]
+                ok = [i for i in np.flatnonzero(wanted.has(c.view(np.uint64)) & (np.diff(at) > 0)).tolist() if not (c[i] in seen or (len(seen) < SEEN_MAX and seen.add(int(c[i]))))]
+                for i in range(0, len(ok), 200):
+                    part = ok[i : i + 200]
+                    yield batch(out, c[part], [u[at[k] : at[k + 1]].tobytes() for k in part])
+
+    return materialize(rows.select("text").mapInArrow(emit, "class long, set binary"), "jaccard-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; b is the side whose set is sent once for PART pairs."""
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "jaccard-ends")
+    wanted = bloom_of(ends, "class", ends.count())
+
+    def chosen(batches):
+        for b in batches:
+            ok = np.flatnonzero(wanted.has(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+            yield b.take(pa.array(ok))
+
+    own = materialize(sets.mapInArrow(chosen, "class long, set binary").join(ends, "class", "left_semi").dropDuplicates(["class"]), "jaccard-chosen")
+    parts = pairs.groupBy("b").agg((F.floor(F.count(F.lit(1)) / PART) + 1).alias("parts"))
+    asked = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").alias("part"))
+    members = asked.join(own.select(F.col("class").alias("a"), "set"), "a").select("b", "part", "a", "set")
+    centres = parts.join(own.select(F.col("class").alias("b"), "set"), "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "set")
+    link = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def verify(batches):
+        x = None
+        for batch_ in batches:
+            a, b = [], []
+            for centre, node, raw in zip(batch_.column(0).to_pylist(), batch_.column(2).to_pylist(), batch_.column(3), strict=True):
+                y = np.frombuffer(raw.as_buffer(), np.uint64)
+                if node is None:
+                    x = y
+                    continue
+                few, many = (x, y) if len(x) < len(y) else (y, x)
+                both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    a.append(node)
+                    b.append(centre)
+            yield batch(link, a, b)
+
+    met = members.union(centres).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    out = materialize(met.mapInArrow(verify, "a long, b long"), "jaccard-links")
+    release(own)
+    release(ends)
+    return out
+
+
+# ---------------------------------------------------------------- candidates
+
+
+def _pivots(live: DataFrame) -> DataFrame:
+    """Of each token the class that shares most, of those that have not been its pivot."""
+    best = F.max(F.struct("score", F.col("class").alias("p_class"), F.col("meta").alias("p_meta"), F.col("component").alias("p_component")))
+    return live.where("not used").groupBy("token").agg(best.alias("p")).select("token", "p.p_class", "p.p_meta", "p.p_component")
+
+
+def _by_pivot(live: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class with the PIVOTS pivots b, of other components, with which it shares most tokens."""
+    met = live.join(pivots, "token").where("component <> p_component").where(_fits("meta", "p_meta", percent))
+    n = met.groupBy(F.col("class").alias("a"), F.col("p_class").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
+    return materialize(n.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("a", "b"), "jaccard-pairs")
+
+
+def _crossing(live: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every candidate pair of two components, a the smaller set."""
+    band = lambda n: F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
+    most = F.least(_partner("meta", percent), F.floor(100 * _size("meta") / percent).cast("long"))
+    small = live.withColumn("most", most).where(F.col("most") >= _size("meta"))
+    small = small.select("token", F.col("class").alias("a"), F.col("meta").alias("am"), F.col("component").alias("ac"), F.explode(F.sequence(band(_size("meta")), band(F.col("most")))).alias("band"))
+    large = live.where(100 * _partner("meta", percent) >= percent * _size("meta")).select("token", F.col("class").alias("b"), F.col("meta").alias("bm"), F.col("component").alias("bc"), band(_size("meta")).alias("band"))
+    order = (_size("am") < _size("bm")) | ((_size("am") == _size("bm")) & (F.col("a") < F.col("b")))
+    met = small.join(large, ["token", "band"]).where((F.col("ac") != F.col("bc")) & order & _fits("am", "bm", percent))
+    n = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.least(_asked("am"), _asked("bm"))).alias("asked"))
+    return materialize(n.where("shared >= asked").select("a", "b"), "jaccard-pairs")
+
+
+def _apart(live: DataFrame, group: DataFrame, pivots: DataFrame | None) -> DataFrame:
+    """The postings of tokens that classes of two or more components share, with the components of group; the tokens' pivots are used."""
+    named = live.drop("component").join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    if pivots is not None:
+        named = named.join(pivots.select("token", "p_class"), "token", "left").withColumn("used", F.col("used") | F.coalesce(F.col("class") == F.col("p_class"), F.lit(False))).drop("p_class")
+    named = materialize(named, "jaccard-named")
+    mixed = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
+    out = materialize(named.join(mixed, "token", "left_semi"), "jaccard-apart")
+    release(named)
+    return out
+
+
+def jaccard_classes(docs: DataFrame, percent: int = PERCENT, ids: Ids | None = None) -> tuple[DataFrame, DataFrame, Ids]:
+    """(doc_id, n_shingles, class) of every row, (node, component) of the classes that have links, and the maker of class ids.
+
+    Two different sets never are one class: ids that the sets' check values show
+    to be shared (a handful in 10**10 sets) are made anew from both values.
+    """
+    ids = ids or Ids()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    first = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("checked", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+
+    def describe(batches):
+        import zstandard
+
+        often = np.zeros(COUNTERS, np.uint32)
+        for b in batches:
+            n, c, v = [], [], []
+            for u, at in shingle_slices(b.column(1)):
+                n.append(np.diff(at))
+                own, check = ids.of(u, at)
+                c.append(own)
+                v.append(check)
+                often += np.bincount((u & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            if n:
+                yield batch(first, b.column(0), np.concatenate(n), np.concatenate(c), np.concatenate(v), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary()))
+        z, none = zstandard.ZstdCompressor(level=1), [None] * 16
+        yield batch(first, none, none, none, none, [*range(16)], [z.compress(x.tobytes()) for x in often.reshape(16, -1)])
+
+    described = materialize(rows.mapInArrow(describe, "doc_id long, n_shingles long, class long, checked long, block int, counts binary"), "jaccard-docs")
+    often = _sketch(described.where("block is not null").select("block", "counts"))
+    members = described.where("block is null")
+    twice = members.groupBy("class").agg(F.min("checked").alias("x"), F.max("checked").alias("y")).where("x < y")
+    bad = frozenset(r[0] for r in twice.select("class").collect())  # sets squared over 2**65: a handful
+    if bad:
+        ids = Ids(ids.bits, bad)
+        again = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64())])
+
+        def anew(batches):
             for b in batches:
-                for i in range(0, b.num_rows, 200):
-                    p = b.slice(i, 200)
-                    ok = []
-                    for x, y in zip(shingle_sets(p.column(2)), shingle_sets(p.column(3)), strict=True):
-                        both_ = len(x) + len(y) - len(np.union1d(x, y))
-                        ok.append(100 * both_ >= percent * (len(x) + len(y) - both_))
-                    at = np.flatnonzero(ok)
-                    yield batch(link, p.column(0).take(pa.array(at)), p.column(1).take(pa.array(at)))
-
-        out = materialize(both.mapInArrow(verify, "a long, b long"), "jaccard-links")
-        release(bodies)
-        release(nodes)
-        return out
-
-    def best(pairs: DataFrame, keys: list[str], most: int) -> DataFrame:
-        """For each key the ``most`` pairs that share most tokens, of those with a fifth of the shorter prefix in common; the rest is for the last step."""
-        pairs = pairs.where(5 * F.col("shared") >= F.least(n("am") - suffix("am"), n("bm") - suffix("bm")))
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("shared"), "a", "b"))
-        return materialize(pairs.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b"), "jaccard-pairs")
-
-    def apart(group: DataFrame) -> DataFrame:
-        """Rows of the tokens that classes of two or more components share."""
-        named = grouped.select("token", "class", "meta").join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        named = materialize(named, "jaccard-named")
-        mixed = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-        return materialize(named.join(mixed, "token", "left_semi"), "jaccard-apart")
-
-    def crossing(rows_: DataFrame) -> DataFrame:
-        a, b = (rows_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "meta", "component")]) for s in "ab")
-        return a.join(b, "token").where("class_a < class_b and component_a <> component_b")
-
-    # 1. each class with the pivot it shares most with
-    by_pivot = shared_tokens(grouped.where("class <> pivot"), "class", "meta", "pivot", "pivot_meta")
-    group = components(verified(best(by_pivot, ["a"], 1)), "jaccard-groups")
-
-    def joined(new: DataFrame) -> DataFrame:
-        return components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new), "jaccard-groups")
-
-    # 2. components by their first and last class at each token, the best pairs of every two components
-    rest = apart(group)
-    for _ in range(2):
-        ends = rest.groupBy("token", "component").agg(F.min(F.struct("class", "meta")).alias("lo"), F.max(F.struct("class", "meta")).alias("hi"))
-        ends = ends.select("token", "component", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("x")).select("token", "component", F.col("x.class").alias("class"), F.col("x.meta").alias("meta"))
-        near = shared_tokens(crossing(ends), "class_a", "meta_a", "class_b", "meta_b", "component_a", "component_b")
-        pairs = best(near.withColumn("u", F.least("component_a", "component_b")).withColumn("v", F.greatest("component_a", "component_b")), ["u", "v"], 3)
-        if no_rows(pairs) or no_rows(new := verified(pairs)):
+                parts = [(np.diff(at), ids.of(u, at)[0]) for u, at in shingle_slices(b.column(1))]
+                if parts:
+                    yield batch(again, b.column(0), np.concatenate([n for n, _ in parts]), np.concatenate([c for _, c in parts]))
+
+        members = materialize(rows.mapInArrow(anew, "doc_id long, n_shingles long, class long"), "jaccard-docs")
+    members = members.select("doc_id", "n_shingles", "class")
+
+    posted = _postings(rows, often, ids, percent)
+    sets = _sets(rows, posted.select("class").distinct(), ids)
+    sizes = posted.groupBy("token").agg((F.count(F.lit(1)) - 1).alias("others"))
+    scores = posted.join(sizes, "token").groupBy("class").agg(F.sum("others").alias("score"))
+    live = materialize(posted.join(scores, "class").withColumns({"component": F.col("class"), "used": F.lit(False)}), "jaccard-apart")
+    release(posted)
+    group, links = None, None
+    while True:
+        pivots = materialize(_pivots(live), "jaccard-pivots")
+        pairs = _by_pivot(live, pivots, percent)
+        left = live.select("class").distinct().count()
+        new = None if not left or no_rows(pairs) else _verified(pairs, sets, percent)
+        found = new.count() if new is not None else 0
+        if found:
+            links = new if links is None else links.union(new)
+            group = materialize(components(links, "jaccard-groups"), "jaccard-groups")
+            nxt = _apart(live, group, pivots)
+            release(live)
+            live = nxt
+        for x in (pairs, pivots):
+            release(x)
+        if found <= WORTH * left:
             break
-        group = joined(new)
-        rest = apart(group)
-    # 3. every candidate pair that is not connected yet
-    pairs = materialize(candidates(shared_tokens(crossing(rest), "class_a", "meta_a", "class_b", "meta_b")).select("a", "b"), "jaccard-pairs")
-    return members, group if no_rows(pairs) or no_rows(new := verified(pairs)) else joined(new)
+    pairs = _crossing(live, percent)
+    if not no_rows(pairs) and not no_rows(new := _verified(pairs, sets, percent)):
+        links = new if links is None else links.union(new)
+        group = materialize(components(links, "jaccard-groups"), "jaccard-groups")
+    for x in (pairs, live, sets):
+        release(x)
+    if group is None:
+        group = docs.sparkSession.createDataFrame([], "node long, component long")
+    return members, group, ids
+
+
+def jaccard_rows(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Ids]:
+    """(doc_id, n_shingles, class, component) of every row, and the maker of class ids; component is a class id, the same for all rows that links connect, and null without shingles."""
+    members, group, ids = jaccard_classes(docs, percent)
+    linked = members.where("n_shingles > 0").join(group.withColumnRenamed("node", "class"), "class", "left")
+    linked = linked.select("doc_id", "n_shingles", "class", F.coalesce("component", "class").alias("component"))
+    return linked.union(members.where("n_shingles = 0").select("doc_id", "n_shingles", "class", F.lit(None).cast("long"))), ids
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -297,10 +403,11 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     component_id is the smallest doc_id that similar pairs reach, the row's own
     included.  A null or wordless text has no shingles and is linked with nothing;
-    rows with equal sets are linked; an empty table gives no rows; other columns
-    are not read.
+    rows with equal sets are linked, repeated doc_ids each for its own row (a null
+    doc_id takes part and is never the smallest unless alone); an empty table gives
+    no rows; other columns are not read.
     """
-    members, group = jaccard_classes(docs, percent)
+    members, group, _ = jaccard_classes(docs, percent)
     full = members.where("n_shingles > 0")
     classes = full.groupBy("class").agg(F.min("doc_id").alias("least"))
     named = materialize(classes.join(group.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("component", "class").alias("component")), "jaccard-classes")
@@ -308,3 +415,36 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     told = materialize(named.join(roots, "component").select("class", "component_id"), "jaccard-roots")
     linked = full.join(told, "class").select("doc_id", "n_shingles", "component_id")
     return linked.union(members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs without near copies: of each group of linked rows one stays, that of the least doc_id (nulls last, ties by content).
+
+    Rows are decided, not ids: a doc_id that several rows share keeps each of its
+    rows that is first in its own group.  Rows without shingles all stay.
+    """
+    group, ids = jaccard_rows(docs, percent)
+    group = materialize(group, "jaccard-rows")
+    chosen = group.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("class"))).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.class").alias("_class"))
+    chosen = materialize(chosen, "jaccard-kept")
+    again = materialize(group.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "jaccard-again")
+    gone = group.join(chosen, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("class") == F.col("_class")), "left_anti").where("component is not null").select(F.col("doc_id").alias("_id")).distinct()
+    own = F.col("doc_id").cast("long")
+    if no_rows(again):
+        return docs.join(gone, own == F.col("_id"), "left_anti")
+    single = docs.join(again, own.eqNullSafe(F.col("_id")), "left_anti").join(gone, own == F.col("_id"), "left_anti")
+    kept = [*docs.columns]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _c long, _n long"
+    at = next(i for i, c in enumerate(kept) if c.lower() == "text")
+
+    def classed(batches):
+        for b in batches:
+            parts = [(np.diff(a), ids.of(u, a)) for u, a in shingle_slices(b.column(at).cast(pa.string()).fill_null(""))]
+            c, n = (np.concatenate([p[1][0] for p in parts]), np.concatenate([p[0] for p in parts])) if parts else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=[*b.schema.names, "_c", "_n"])
+
+    several = docs.join(again, own.eqNullSafe(F.col("_id")), "left_semi").mapInArrow(classed, schema)
+    order = Window.partitionBy("doc_id", "_c").orderBy(*[F.col(f"`{c}`") for c in kept if c.lower() != "doc_id"])
+    first = several.where("_n > 0").join(chosen, own.eqNullSafe(F.col("_id")) & (F.col("_c") == F.col("_class")), "left_semi").withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    cols = [F.col(f"`{c}`") for c in kept]
+    return single.select(*cols).union(first.select(*cols)).union(several.where("_n = 0").select(*cols))

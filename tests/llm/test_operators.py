@@ -105,11 +105,55 @@ def test_jaccard_join_against_brute_force(spark, odd_texts):
     assert got == components_by_force(texts)
 
 
+def test_jaccard_join_in_a_group_of_a_thousand_near_copies(spark):
+    """Edits that only their original links, a passage that dissimilar texts share, and two groups beside each other."""
+    from lexmill.llm.jaccard_join import jaccard_components
+
+    rng = random.Random(18)
+    base, other = prose(rng, 80).split(), prose(rng, 40).split()
+    texts = [" ".join(base)]
+    for k in range(1000):
+        w = list(base)
+        for at in rng.sample(range(80), 2):
+            w[at] = f"{rng.choice(WORDS)}e{k}"
+        texts.append(" ".join(w))
+    texts += [" ".join(other) + " " + prose(rng, rng.randint(2, 30)) for _ in range(150)] + [" ".join(base[:70] + other[:20])]
+    got = sorted(tuple(r) for r in jaccard_components(table(spark, texts)).collect())
+    assert got == components_by_force(texts)
+    assert sum(c == 0 for _, _, c in got) > 900
+
+
+def test_jaccard_join_when_ids_of_sets_collide(spark):
+    from lexmill.llm.jaccard_join import Ids, jaccard_classes
+
+    rng = random.Random(28)
+    texts = [prose(rng, 30) for _ in range(60)] * 2
+    members, group, ids = jaccard_classes(table(spark, texts), 75, Ids(4))
+    assert ids.bad and group.count() == 0
+    assert members.select("class").distinct().count() == 60
+
+
+def test_jaccard_join_of_repeated_ids_and_empty_tables(spark):
+    from lexmill.llm.jaccard_join import jaccard_components, one_of_each
+
+    rng = random.Random(38)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (5, c), (5, c), (None, c), (None, b), (None, ""), (None, ""), (7, None), (7, None)]
+    docs = spark.createDataFrame([(*r, 0.5, "k") for r in rows], "doc_id long, text string, score double, `component` string")
+    assert sorted(map(tuple, one_of_each(docs).select("doc_id", "text").collect()), key=str) == sorted([(1, a), (5, b), (5, c), (None, ""), (None, ""), (7, None), (7, None)], key=str)
+    assert one_of_each(docs).columns == docs.columns
+    got = sorted((tuple(r) for r in jaccard_components(docs).collect()), key=str)
+    assert got == sorted([(1, 36, 1), (5, 36, 1), (5, 36, 5), (5, 36, 5), (5, 36, 5), (None, 36, 5), (None, 36, 5), (None, 0, None), (None, 0, None), (7, 0, 7), (7, 0, 7)], key=str)
+    assert jaccard_components(docs.limit(0)).count() == 0 and one_of_each(docs.limit(0)).count() == 0
+    unlinked = docs.where("doc_id = 1")
+    assert one_of_each(unlinked).count() == 1 and [tuple(r) for r in jaccard_components(unlinked).collect()] == [(1, 36, 1)]
+
+
 def test_prefixes_never_lose_a_pair():
     from lexmill.llm.jaccard_join import least_overlap, prefix
 
     rng = np.random.default_rng(1)
-    for _ in range(200):
+    for _ in range(400):
         n = int(rng.integers(4, 60))
         a = np.unique(rng.integers(0, 1 << 40, n).astype(np.uint64))
         keep = a[rng.random(len(a)) > 0.12]
@@ -118,10 +162,10 @@ def test_prefixes_never_lose_a_pair():
             continue
         often = rng.integers(0, 3000, 1 << 10).astype(np.uint32)
         (ta, pa_, na), (tb, pb, nb) = prefix(a, often, 5), prefix(b, often, 5)
-        least = min(na, nb)
-        assert len(np.intersect1d(ta[: pa_ + least - 1], tb[: pb + least - 1])) >= least
-        most = len(np.intersect1d(ta, tb)) + max(len(a) - len(ta), len(b) - len(tb))
-        assert most >= -(-75 * (len(a) + len(b)) // 175)
+        least, overlap = min(na, nb), -(-75 * (len(a) + len(b)) // 175)
+        xa, xb = len(a) - overlap + least, len(b) - overlap + least  # lengths for this pair's sizes
+        assert xa <= len(ta) and xb <= len(tb)
+        assert len(np.intersect1d(ta[:xa], tb[:xb])) >= least
         assert len(ta) == len(a) - least_overlap(len(a)) + na
 
 
