@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,6 +164,17 @@ def span_hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix((c[b] - c[a]) * inv[a] + (b - a).astype(np.uint64))
 
 
+def parts_of(b: pa.RecordBatch, column: int, rows: int = 256, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """b in slices of at most ``rows`` rows and about ``size`` bytes of a text column (one longer text is a slice)."""
+    lengths = b.column(column).cast(pa.large_string()).fill_null("").cast(pa.large_binary())
+    total = np.concatenate(([0], np.cumsum(pc.binary_length(lengths).to_numpy(zero_copy_only=False).astype(np.int64))))
+    i = 0
+    while i < b.num_rows:
+        j = min(i + rows, b.num_rows, max(i + 1, int(np.searchsorted(total, total[i] + size, "right")) - 1))
+        yield b.slice(i, j - i)
+        i = j
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

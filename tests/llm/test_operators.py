@@ -192,7 +192,21 @@ def test_top_k_is_exact(spark):
     assert top_k(v, v.where("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_the_library(name):
+    """Letters from U+00C0 to U+024F, marks, digits, line ends and runs of spaces, in random order."""
+    from lexmill.llm.encoding import encoder
+    from lexmill.llm.queries import tokenizer_path
+
+    rng, enc = random.Random(5), encoder(tokenizer_path(name))
+    odd = [*map(chr, range(0xC0, 0x250)), *"XYZ  \n\n\t.,;:!?'\"*&%$#@-_()[]{}<>~`^|\\/+=0123456789", "  ", " \n", "e\u0301", "\u0301", "中文", "🙂", "'s", "\ufb01", "\u00a0", "\u0130stanbul"]
+    texts = ["".join(rng.choice(odd) if rng.random() < 0.5 else rng.choice("abcdefgh ") for _ in range(rng.randint(1, 30))) for _ in range(15_000)]
+    for t in [*texts, "a İstanbul b", "x" * 3000]:
+        assert enc.ids(t).tolist() == enc.tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_tokens_round_trip_and_packing(spark, tmp_path):
+    from pyspark.sql import functions as F
     from tokenizers import Tokenizer
 
     from lexmill.llm.packing import Bins, best_fit_packing
@@ -225,6 +239,10 @@ def test_tokens_round_trip_and_packing(spark, tmp_path):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 2048
     bins = Bins(10, 2, 0)
     assert [bins.put(n) for n in (6, 5, 4, 5, 9, 9, 1)] == [(0, 0), (1, 0), (0, 6), (1, 5), (2, 0), (3, 0), (3, 9)]
+    many = table(spark, [prose(rng, rng.randint(1, 900)) for _ in range(400)])
+    used = [best_fit_packing(many.repartition(n), path).agg(F.countDistinct("sequence_id"), F.sum("length"), F.countDistinct("doc_id")).first() for n in (1, 100)]
+    least = -(-used[0][1] // 2048)
+    assert used[0][1:] == used[1][1:] and used[0][2] == 400 and max(used[0][0], used[1][0]) <= 1.03 * least + 1, (used, least)
     for op in (lambda d: best_fit_packing(d, path), lambda d: read_back(*write_blocks(d, path, 2))):
         assert op(docs.limit(0)).count() == 0
 
