@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import materialize, read_table, shared_dir
+from lexmill.llm.common import read_table, shared_dir
 from lexmill.llm.queries import tokenizer_path
 
 
@@ -33,10 +33,9 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold an exact, edited or paraphrased copy of a benchmark item."""
-    from lexmill.llm.decontamination import leaks
+    from lexmill.llm.decontamination import without_leaks
 
-    found = materialize(leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "pipeline-leaks")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import batch
 
-#: n-gram orders, hashed features, documents of each language in the sample (a fifth of them calibrates), languages at most.
-ORDERS, FEATURES, FIT_DOCS, LANGUAGES_MAX = (1, 2, 3), 1 << 15, 400, 500
+#: n-gram orders, hashed features.
+ORDERS, FEATURES = (1, 2, 3), 1 << 15
+#: The regression's sample: documents of each language (a fifth of them calibrates), rows in all, characters of a document.
+FIT_DOCS, FIT_ROWS, FIT_CHARS = 400, 200_000, 50_000
 #: FTRL: learning rate, smoothing, L1, L2, passes.
 ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 0.0005, 0.00001, 3
 UNKNOWN = "und"
@@ -140,18 +142,23 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame) -> Model:
     """The model from docs (doc_id, text, lang) that are not held out and have text and lang.
 
-    The sample has the FIT_DOCS rows of the smallest id hashes of each language;
-    the ids are ranked alone, each task keeping its own best before the shuffle.
+    The sample has FIT_DOCS rows of each language (fewer where the languages would
+    make more than FIT_ROWS), those of the smallest id hashes of the texts of at most
+    FIT_CHARS characters; ids are ranked alone, each task keeping its own best before
+    the shuffle.  Of rows that share id and language the text of least hash is taken.
     """
     known = docs.where("text is not null and lang is not null").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     df, n = document_frequencies(known.select("text"))
     idf = np.log((1 + n) / (1 + df)) + 1
     from pyspark.sql import Window
 
+    some = known.where(F.length("text") <= FIT_CHARS)
+    most = max(1, min(FIT_DOCS, FIT_ROWS // max(1, some.select("lang").distinct().count())))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= FIT_DOCS).select("doc_id", "lang").limit(FIT_DOCS * LANGUAGES_MAX)
-    rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).withColumn("h", F.xxhash64("doc_id"))
-    sample = sorted(rows.collect(), key=lambda r: (r["h"], r["doc_id"] is None, r["doc_id"], r["lang"]))  # FIT_DOCS rows a language at most
+    ids = some.select("doc_id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= most).select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"))
+    rows = some.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("lang") == F.col("_l")))  # FIT_ROWS ids at most
+    rows = rows.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x")).select("doc_id", "lang", "x.text", F.xxhash64("doc_id").alias("h"))
+    sample = sorted(rows.collect(), key=lambda r: (r["h"], r["doc_id"] is None, r["doc_id"] or 0, r["lang"]))
     return Model(idf, [(r["text"], r["lang"]) for r in sample if has_letter(r["text"])])
 
 

@@ -12,6 +12,7 @@
 3. Maximal spans of matches of at least ``window`` words are carried back to the
    documents and their words removed.
 
+A segment is named by its anchor and a hash of its words (128 bits together).
 Automata are sent to the segments that can match them (by anchor) rather than to
 every task, since the automata of a whole corpus have no size bound.
 """
@@ -217,14 +218,14 @@ def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
     found = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("key", pa.int64()), ("seg", pa.int64()), ("weight", pa.int32()), ("body", pa.binary())])
 
     def occurrences(batches):
-        held: dict[int, list] = {}
+        held: dict[tuple[int, int], list] = {}
         size = 0
 
         def out():
             rows_ = [*held.items()]
             for i in range(0, len(rows_), 20_000):
                 part = rows_[i : i + 20_000]
-                yield batch(found, *([None] * len(part) for _ in range(3)), [v[0] for _, v in part], [k for k, _ in part], [v[1] for _, v in part], [v[2] for _, v in part])
+                yield batch(found, *([None] * len(part) for _ in range(3)), [q for (q, _), _ in part], [x for (_, x), _ in part], [v[0] for _, v in part], [v[1] for _, v in part])
 
         for b in batches:
             k1, k2 = (b.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
@@ -236,11 +237,11 @@ def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
                 seg = span_hashes(h, at, at + n + window - 1).view(np.int64)
                 raw = data.tobytes()
                 for q, x, a, z in zip(key.tolist(), seg.tolist(), s[at].tolist(), e[at + n + window - 2].tolist(), strict=True):
-                    got = held.get(x)
+                    got = held.get((q, x))
                     if got:
-                        got[1] += 1
+                        got[0] += 1
                     else:
-                        held[x] = [q, 1, raw[a:z]]
+                        held[q, x] = [1, raw[a:z]]
                         size += z - a + 200
                 yield batch(found, k1[i + row], k2[i + row], (at - first[row]).astype(np.int32), key, seg, pa.nulls(len(key), pa.int32()), pa.nulls(len(key), pa.binary()))
             if size > FLUSH_BYTES:
@@ -250,17 +251,18 @@ def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
         yield from out()
 
     occ = materialize(keyed.mapInArrow(occurrences, "k1 long, k2 long, at int, key long, seg long, weight int, body binary"), "dedup-segments")
-    told = pa.schema([("seg", pa.int64()), ("spans", pa.list_(pa.int32()))])
+    told = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("spans", pa.list_(pa.int32()))])
 
     def shards(batches):
-        key, seg, weight, body, done = None, [], [], [], ([], [])
+        key, seg, weight, body, done = None, [], [], [], ([], [], [])
 
         def close():
             if sum(weight) > 1 or len(body) == 1:
                 for x, spans in zip(seg, repeated_spans(body, weight, window), strict=True):
                     if spans:
-                        done[0].append(x)
-                        done[1].append([y for ab in spans for y in ab])
+                        done[0].append(key)
+                        done[1].append(x)
+                        done[2].append([y for ab in spans for y in ab])
 
         for b in batches:
             for q, x, w, t in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
@@ -275,14 +277,14 @@ def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
                     body.append(t)
             if len(done[0]) >= 5_000:
                 yield batch(told, *done)
-                done = ([], [])
+                done = ([], [], [])
         close()
         yield batch(told, *done)
 
     bodies = occ.where("body is not null").select("key", "seg", "weight", "body")
-    spans = bodies.repartition("key").sortWithinPartitions("key", "seg").mapInArrow(shards, "seg long, spans array<int>")
+    spans = bodies.repartition("key").sortWithinPartitions("key", "seg").mapInArrow(shards, "key long, seg long, spans array<int>")
     spans = materialize(spans, "dedup-spans")
-    places = occ.where("body is null").select("k1", "k2", "at", "seg").join(spans, "seg")
+    places = occ.where("body is null").select("k1", "k2", "at", "key", "seg").join(spans, ["key", "seg"])
     by_text = places.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "spans")).alias("places"))
     joined = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")}).join(by_text, ["k1", "k2"], "left").select("doc_id", "text", F.transform("places", lambda p: p["at"]).alias("at"), F.transform("places", lambda p: p["spans"]).alias("spans"))
     span = pa.struct([("a", pa.int32()), ("b", pa.int32())])

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The model is fitted on at most so many labelled documents of each class (smallest id hashes), a third of them for calibration.
-FIT_TOXIC, FIT_ORDINARY = 1000, 2000
+#: The model is fitted on at most so many labelled documents of each class (smallest id hashes) and so many characters each, a third of them for calibration.
+FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 1000, 2000, 50_000
 #: Words of a window, times a document is covered, bytes of a beginning, beginnings kept, the score that decides.
 WINDOW, COVER, START, KEPT, CUT = 16, 3, 4, 300, 0.3
 #: Both dictionaries and all windows have it, so that a window always compresses and one more match shortens it.
@@ -154,14 +154,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model from a bounded sample of labelled rows that are not held out; only ids are ordered, texts of the chosen are fetched."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).distinct()
-    known = known.join(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    """The model from a bounded sample of labelled rows that are not held out; only ids are ordered, texts of the chosen are fetched.
+
+    A doc_id with both labels teaches nothing; of the texts that share a doc_id that
+    of least hash is taken; texts of over FIT_CHARS characters are not in the sample.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").select("doc_id", "toxic")
+    texts = docs.where(F.length("text") <= FIT_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     own = {}
     for y, most in ((1, FIT_TOXIC), (0, FIT_ORDINARY)):
         ids = known.where(F.col("toxic") == y).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        some = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-        own[y] = [r["text"] for r in sorted(some.withColumn("h", F.xxhash64("doc_id")).collect(), key=lambda r: (r["h"], r["doc_id"]))]  # ``most`` rows at most
+        some = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x"))  # ``most`` ids at most
+        own[y] = [r["text"] for r in sorted(some.select("doc_id", "x.text", F.xxhash64("doc_id").alias("h")).collect(), key=lambda r: (r["h"], r["doc_id"]))]
     return Model(own[1], own[0])
 
 

@@ -72,8 +72,8 @@ def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
     while (n := own.count()) or not levels:
         levels.append(_sized(own, n, len(levels)))
         own = materialize(_passes(sides[len(levels) % 2], levels), "url-level")
-        if len(levels) > 60:
-            raise RuntimeError("the cascade does not end: two keys share a hash")
+        if len(levels) > 60:  # a hundredth goes on at each level, so that no table gets here
+            raise RuntimeError("the cascade's levels do not shrink")
     return Cascade(levels)
 
 
@@ -93,14 +93,15 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     """(page_id, host, path, rule, verdict) of every page.
 
     rules: (rule string host/path, verdict).  A rule fits its host, all subdomains
-    and the paths that start with its own; the longest that fits decides, else
-    default.  Candidate keys of a url are tested longest first against the
-    cascade, which is exact for every key of the table, so no join is made; the
-    verdicts of the rules themselves travel as a map of at most 100,000 entries
-    (beyond it the rules are joined to the one key that was found).  A null url
-    has empty host and path and gets the default; repeated rows are all judged.
+    and the paths that start with its own; the longest that fits decides (of two
+    equally long ones that with the longer host), else default.  Candidate keys of a
+    url are tested longest first against the cascade, which is exact for every key
+    of the table; a rule's verdict is looked up by the one key that was found.  A
+    rule given twice has its first verdict in order; a null url has empty host and
+    path and gets the default; repeated rows are all judged; an empty side gives no
+    rows or no rule.
     """
-    rules = materialize(rules.select("rule", "verdict", F.xxhash64("rule").alias("h")).dropDuplicates(["rule"]), "url-rules")
+    rules = materialize(rules.select("rule", "verdict", F.xxhash64("rule").alias("h")).where("rule is not null").groupBy("rule", "h").agg(F.min("verdict").alias("verdict")), "url-rules")
     lengths = [r[0] for r in rules.select((F.length("rule") - F.instr("rule", "/") + 1).alias("n")).distinct().orderBy("n").collect()]
     host, path = host_path(F.col("url"))
     keyed = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("keys", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(candidate_keys(F.col("host"), F.col("path"), lengths)) if lengths else F.array().cast("array<string>"))
@@ -119,10 +120,6 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
             yield batch(schema, b.column(0), b.column(1), b.column(2), rule)
 
     found = keyed.select(F.col("page_id").cast("long"), "host", "path", "keys", F.transform("keys", lambda k: F.xxhash64(k)).alias("hashes")).mapInArrow(judge, "page_id long, host string, path string, rule string")
-    n = rules.count()
-    if n <= 100_000:
-        verdicts = {r["rule"]: r["verdict"] for r in rules.select("rule", "verdict").collect()}
-        told = F.create_map(*[F.lit(x) for kv in verdicts.items() for x in kv])[F.col("rule")] if 0 < n <= 1000 else None
-        if told is not None or not n:
-            return found.withColumn("verdict", F.coalesce(told, F.lit(default)) if n else F.lit(default))
-    return found.join(rules.select("rule", "verdict"), "rule", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    told = found.join(rules.select("rule", "verdict"), "rule", "left")
+    known = F.col("verdict").isNotNull()
+    return told.select("page_id", "host", "path", F.when(known, F.col("rule")).alias("rule"), F.coalesce("verdict", F.lit(default)).alias("verdict"))

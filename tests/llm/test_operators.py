@@ -247,6 +247,37 @@ def test_tokens_round_trip_and_packing(spark, tmp_path):
         assert op(docs.limit(0)).count() == 0
 
 
+def test_top_k_of_large_values_other_lengths_and_repeated_ids(spark):
+    from lexmill.llm.topk_search import top_k
+
+    rng = random.Random(14)
+    for size in (10**6, 10**9, 10**17):
+        x = [(i, [rng.randint(-size, size) for _ in range(8)]) for i in range(120)]
+        rows = spark.createDataFrame([*x, (100, [1, 2]), (300, [3, -4]), (200, []), (201, []), (100, x[100][1]), (7, x[7][1])], "vec_id long, x array<long>").repartition(3)
+        got = {}
+        for r in top_k(rows, rows.where("vec_id % 100 = 0"), 5).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        dot = lambda a, b: max(-(1 << 63), min((1 << 63) - 1, sum(p * q for p, q in zip(a, b, strict=True))))
+        every = [*x, (100, x[100][1]), (7, x[7][1])]
+        want = sorted(((-dot(x[0][1], v), i) for i, v in every if i != 0))[:5]
+        if size < 10**17:
+            assert sorted(got[0]) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)], size
+        else:
+            assert [s for *_, s in sorted(got[0])] == [-s for s, _ in want]
+        some = sorted([(-dot(x[100][1], v), i) for i, v in every if i != 100] + [(-dot([1, 2], [3, -4]), 300)])[:5]
+        assert [s for *_, s in sorted(got[100])] == [-s for s, _ in some]
+        assert got[300] == [(1, 100, -5)] and got[200] == [(1, 201, 0)]
+
+
+def test_url_filter_with_many_rules_and_ties(spark):
+    from lexmill.llm.url_filter import url_filter
+
+    pages = spark.createDataFrame([(1, "http://b.com/en/a"), (1, "http://b.com/en/a"), (2, "http://x9.org/p7/q"), (None, "http://x9.org/")], "page_id long, url string")
+    rules = spark.createDataFrame([("com/en/a", "block"), ("b.com/en", "allow"), (None, "block"), ("com/en/a", "block"), *((f"x{i}.org/p{i % 9}", "block") for i in range(2000)), ("x9.org/p7/", "block")], "rule string, verdict string")
+    got = sorted(((r["page_id"], r["rule"], r["verdict"]) for r in url_filter(pages, rules).collect()), key=str)
+    assert got == [(1, "b.com/en", "allow"), (1, "b.com/en", "allow"), (2, "x9.org/p7/", "block"), (None, None, "allow")]
+
+
 def test_url_filter(spark):
     from lexmill.llm.url_filter import RULES, url_filter
 
@@ -298,6 +329,56 @@ def test_decontamination_finds_copies_with_one_word_in_five_replaced(spark, othe
     assert got == {(i, i % 3) for i in range(len(texts) - 1)}
 
 
+def leaks_by_force(texts, items):
+    """Full alignment tables of every item with every whole text, without seeds."""
+    from lexmill.llm.decontamination import needed, plain
+
+    found = set()
+    for i, t in enumerate(texts):
+        b = re.findall(r"[^\W_]+", plain(t).lower())
+        for k, item in items:
+            a = re.findall(r"[^\W_]+", plain(item).lower())
+            if 0 < len(a) < 4:
+                found |= {(i, k)} if a == b else set()
+                continue
+            if not any(a[x : x + 4] == b[y : y + 4] for x in range(len(a) - 3) for y in range(len(b) - 3)):
+                continue
+            best, row = 0, [0] * (len(b) + 1)
+            for x in a:
+                new = [0]
+                for j, y in enumerate(b):
+                    new.append(max(0, row[j] + (1 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+                row, best = new, max(best, *new)
+            if best >= needed(len(a)):
+                found.add((i, k))
+    return found
+
+
+def test_decontamination_against_full_alignment(spark):
+    from lexmill.llm.decontamination import leaks, without_leaks
+
+    rng = random.Random(26)
+    few = WORDS[:25]
+    items = [(k, " ".join(rng.choice(few) for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 15, 20, 30])]
+    items += [(50, "what is the capital of france"), (51, "中文句子没有空格也能找到"), (52, None), (53, ""), (53, "again the same id with other words here")]
+    texts = [" ".join(rng.choice(few) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    for k, t in items:
+        w = (t or "x").split()
+        edited = [x if i % 6 != 5 else "other" for i, x in enumerate(w)]
+        texts += [t, f"{prose(rng, 9)} {' '.join(edited)} {prose(rng, 9)}", f"{prose(rng, 5)} {t} {prose(rng, 5)}"]
+    texts += [None, "", "前面的话中文句子没有空格也能找到后面的话", "the question: What is the CAPITAL of France? Paris.", "what is the capital of spain"]
+    rows = spark.createDataFrame(items, "item_id long, text string")
+    docs = table(spark, texts).repartition(3)
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(docs, rows).collect()}
+    assert got == leaks_by_force(texts, items)
+    n = len(texts)
+    assert {(n - 3, 51), (n - 2, 50)} <= got and (n - 1, 50) not in got
+    again = docs.union(table(spark, [prose(rng, 20)] * 3))  # ids that leaking rows have too
+    kept = without_leaks(again, rows)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted([*({*range(n)} - {d for d, _ in got}), 0, 1, 2])
+    assert without_leaks(docs, rows.limit(0)).count() == n and without_leaks(docs.limit(0), rows).count() == 0
+
+
 def test_secret_scan(spark, odd_texts):
     from pyspark.sql import functions as F
 
