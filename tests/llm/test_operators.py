@@ -393,6 +393,7 @@ def test_secret_scan(spark, odd_texts):
     assert got[n]["masked"] == 'the token = "<secret>" is' and got[n + 1]["masked"] == texts[n + 1] and got[n + 2]["masked"] == texts[n + 2]
     assert "<secret>" in got[n + 3]["masked"]
     assert all(got[i]["masked"] == odd_texts[i] for i in range(n))
+    findings = labelled_findings(spark, 2000, 50_000)  # none of them in the fit
     judged = scan(findings.select(F.monotonically_increasing_id().alias("doc_id"), F.concat_ws(" ", "before", "word").alias("text"), "secret"), forest)
     right = judged.select(((F.size(F.filter("findings", lambda f: f["votes"] > VOTES)) > 0) == (F.col("secret") == 1)).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
     assert right > 0.9, right
@@ -416,6 +417,28 @@ def test_secret_scan_takes_every_run_of_a_word(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_secret_scan_takes_announced_values(spark):
+    from lexmill.llm.secret_scan import fit, labelled_findings, scan
+
+    cases = {
+        "api_key = AbCdEfGhIjKlMnOpQrStUvWxYz and": "api_key = <secret> and",
+        "password = hunter2": "password = <secret>",
+        "password: Tr0ub4dor&3xyz!qwLmP99zz": "password: <secret>",
+        "the password is kS8#rWq2 now, hunter2x stays": "the password is <secret> now, hunter2x stays",
+        '{"user":"bob","password":"hunter2"}': '{"user":"bob","password":"<secret>"}',
+        "set password=pa55word9; hunter2": "set password=<secret>; hunter2",
+        "password: required": None,
+        "your password is incorrect": None,
+        "the author: JohnSmith1 wrote": None,
+        "token: string": None,
+        "class AbstractWidgetFactoryProvider is": None,
+        "see https://en.library.example/wiki/Window_Project": None,
+        "the passengers were 123456 and the compass 654321": None,
+    }
+    got = {r["doc_id"]: r["masked"] for r in scan(table(spark, [*cases]), fit(labelled_findings(spark))).collect()}
+    assert [got[i] for i in range(len(cases))] == [v or k for k, v in cases.items()]
+
+
 def test_language_id(spark):
     from lexmill.llm.language_id import fit, identify
 
