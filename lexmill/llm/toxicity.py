@@ -1,8 +1,8 @@
 """Toxicity by compression distance: two zstandard dictionaries, trained on toxic and on ordinary text.
 
 Texts become windows of distinct lower-cased words, one a line.  A dictionary is
-trained on the word beginnings that tell its class from the other, chosen greedily so that each training document is covered ``COVER`` times.  The
-windows are compressed with either dictionary (literals stored as they are, so
+trained on the word beginnings that tell its class from the other, chosen greedily
+so that each training document is covered ``COVER`` times.  The windows are compressed with either dictionary (literals stored as they are, so
 that only matches shorten a window); the differences in length give a score by
 logistic calibration, whose threshold is set on documents kept out of the
 dictionaries.
@@ -11,6 +11,7 @@ dictionaries.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -22,34 +23,53 @@ from pyspark.sql import functions as F
 #: The model is fitted on at most so many labelled documents of each class (smallest id hashes) and so many characters each, a third of them for calibration.
 FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 1000, 2000, 50_000
 #: Words of a window, times a document is covered, bytes of a beginning, beginnings kept, the score that decides.
-WINDOW, COVER, START, KEPT, CUT = 16, 3, 4, 300, 0.3
+WINDOW, COVER, START, LONGEST, KEPT, CUT = 16, 3, 5, 9, 300, 0.3
+#: A beginning is tried if this share of its class (and three texts) has it, so many times as often as the other class, and so surprisingly often that of all beginnings about CHANCE would be by accident.
+LEAST_SHARE, TELLING, CHANCE = 0.02, 6, 1.0
 #: Both dictionaries and all windows have it, so that a window always compresses and one more match shortens it.
 _HEAD = bytes(range(128, 160))
-#: Between words: with a word's first four bytes as long as the shortest match, so that matches begin with a word.
-_LINE = b"\n\n\n"
-_STRIP = b".,;:!?*\"'()[]"
+#: Between words: with a word's first START bytes as long as the shortest match, so that matches begin with a word.
+_LINE = b"\n\n"
+#: Scripts that write no spaces between words: Thai to Lao, Burmese, Khmer, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+_STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _pairs(m: re.Match) -> str:
+    run = m[0]
+    return f" {' '.join(run[i : i + 2] for i in range(max(1, len(run) - 1)))} "
 
 
 def distinct_words(text: str) -> list[bytes]:
-    return [*dict.fromkeys(x for x in (w.strip(_STRIP) for w in text.lower().encode().split()) if x)]
+    """Lower-cased words in order; in scripts without spaces every two neighbouring characters are a word."""
+    text = text.lower()
+    if not text.isascii():
+        text = _UNSPACED.sub(_pairs, text)
+    return [*dict.fromkeys(x for x in (w.strip(_STRIP) for w in text.encode().split()) if x)]
 
 
-def segments(text: str) -> set[bytes]:
-    """Beginnings of START bytes of the text's words."""
-    return {x[:START] for x in distinct_words(text) if len(x) >= START}
+def beginnings(text: str) -> set[bytes]:
+    """Beginnings of START to LONGEST bytes of the text's words; a line end closes a word."""
+    return {x[:n] for x in (w + b"\n" for w in distinct_words(text)) for n in range(START, min(LONGEST, len(x)) + 1)}
 
 
 def train_segments(own: list[str], other: list[str]) -> list[bytes]:
-    """Word beginnings that tell own texts from others, the most telling first, each as far as most of its
-    words go on alike, 2 * START bytes at most (longer ones would match inside other words).
+    """Word beginnings that tell own texts from others, the most telling first.
 
-    One that few own texts have is left out, as a family of copies alone could make it.
+    Greedy: each own text is to be covered COVER times.  A beginning that few own
+    texts have is left out, as a family of copies alone could make it.
     """
-    has = [segments(t) for t in own]
-    seen, against = Counter(w for g in has for w in g), Counter(w for t in other for w in segments(t))
+    has = [beginnings(t) for t in own]
+    seen, against = Counter(w for g in has for w in g), Counter()
+    few = max(3, LEAST_SHARE * len(own))
+    tried = {w for w, n in seen.items() if n >= few}
+    for t in other:
+        against.update(beginnings(t) & tried)
     a, b = max(1, len(own)), max(1, len(other))
-    tried = {w for w, n in seen.items() if n >= max(3, 0.02 * a) and n / a > 6 * (against[w] + 0.5) / (b + 1)}
-    gain = lambda w, n: (n * math.log((n + 0.01) / a / ((against[w] + 0.5) / (b + 1))), w)
+    surprise = lambda n, w: n * math.log(n / ((n + against[w]) * a / (a + b)))  # noqa: E731  half of the likelihood ratio's statistic
+    chance = math.log(max(1, len(tried)) / CHANCE)
+    tried = {w for w in tried if seen[w] / a > TELLING * (against[w] + 0.5) / (b + 1) and surprise(seen[w], w) > chance}
+    gain = lambda w, n: (n * math.log((n + 0.01) / a / ((against[w] + 0.5) / (b + 1))), len(w), w)
     has = [g & tried for g in has]
     left, count, kept = [COVER] * len(own), Counter(w for g in has for w in g), []
     while count and len(kept) < KEPT:
@@ -57,7 +77,8 @@ def train_segments(own: list[str], other: list[str]) -> list[bytes]:
         if count[w] < max(3, 0.004 * a):
             break
         kept.append(w)
-        del count[w]
+        for x in [x for x in count if x.startswith(w) or w.startswith(x)]:  # one form of a beginning is enough
+            del count[x]
         for i, g in enumerate(has):
             if w in g and left[i]:
                 left[i] -= 1
@@ -65,17 +86,20 @@ def train_segments(own: list[str], other: list[str]) -> list[bytes]:
                     for x in g:
                         if x in count:
                             count[x] -= 1
-    forms: dict[bytes, Counter] = {w: Counter() for w in kept}
-    for t in own:
-        for x in distinct_words(t):
-            if x[:START] in forms:
-                forms[x[:START]].update((x + b"\n")[:n] for n in range(START, min(2 * START, len(x) + 1) + 1))
-    return [max((x for x, n in forms[w].items() if 2 * n > forms[w][w]), key=len) for w in kept]
+    return kept
 
 
 def dictionary(kept: list[bytes]) -> bytes:
-    """The content of a zstandard dictionary, the most telling segment last (nearest)."""
-    return b"\0" + b"\0".join(_LINE + w for w in reversed(kept)) + b"\0" + _HEAD
+    """The content of a zstandard dictionary, the most telling segment last (nearest).
+
+    Segments begin at multiples of three: of a dictionary's places the fast strategy
+    indexes these first (others may go under).
+    """
+    out = b"\0\0"
+    for w in reversed(kept):
+        out += b"\0" + _LINE + w
+        out += b"\0" * ((2 - len(out)) % 3)
+    return out + b"\0" + _HEAD
 
 
 def compressor(content: bytes):

@@ -483,6 +483,31 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 for r in score_toxicity(docs, fit(docs, known.limit(0))).collect())
 
 
+def test_toxicity_in_a_script_without_spaces_and_with_contradictory_labels(spark):
+    from lexmill.llm.toxicity import compressor, dictionary, features, fit, score_toxicity
+
+    rng = random.Random(22)
+    signs = [chr(0x4E00 + 37 * i) for i in range(400)]
+    texts, labels = [], []
+    for i in range(300):
+        c = rng.choices(signs, k=rng.randint(40, 200))
+        if i % 3 == 0:
+            c.insert(rng.randrange(len(c)), rng.choice(["辱骂词", "脏话啊"]))
+        texts.append("".join(c))
+        labels.append((i, int(i % 3 == 0)))
+    docs = table(spark, texts)
+    docs = docs.union(table(spark, ["another text of an id that is there already"] * 2))
+    known = spark.createDataFrame([*labels, *[(i, 1) for i in range(1, 300, 30)]], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in score_toxicity(docs, fit(docs, known)).where("lang = 'en'").collect() if r["doc_id"] > 1}
+    test = [i for i in range(2, 300) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(got[i] == int(i % 3 == 0) for i in test) > 0.9 * len(test)
+    # the segments of a dictionary are found wherever they stand, but for a few that share a place of zstandard's index
+    segments = [f"qx{i}zvw".encode() for i in range(200)]
+    toxic, ordinary = compressor(dictionary(segments)), compressor(dictionary([]))
+    assert sum(features(f"one {w.decode()} two", toxic, ordinary)[0] >= 3 for w in segments) >= 196
+    assert score_toxicity(docs.limit(0), fit(docs, known)).count() == 0 and fit(docs.limit(0), known).weights.sum() == 0
+
+
 def test_pipeline_stages_against_their_operators(spark):
     import corpus_pipeline as P
 
