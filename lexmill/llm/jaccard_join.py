@@ -42,8 +42,10 @@ VERIFY_COST = 40
 SEEN_MAX = 1_000_000
 #: Pivots that a class is verified against in a round; rounds go on while they link this share of the classes left.
 PIVOTS, WORTH = 2, 0.01
-#: Ratio of neighbouring size bands; verifications that share one copy of a pivot's set.
-BAND, PART = 1.06, 512
+#: Postings of one token that a task looks at together; more than any set's size.
+GROUP_ROWS, _FAR = 500_000, 1 << 34
+#: Ratio of neighbouring size bands; verifications that share one copy of a pivot's set; pairs of which the ids are broadcast (at most twice so many rows of four numbers).
+BAND, PART, BROADCAST_ROWS = 1.06, 512, 100_000
 
 
 def shingle_slices(column: pa.Array, k: int = SHINGLE):
@@ -158,9 +160,10 @@ def _fits(a: str | Column, b: str | Column, percent: int) -> Column:
 
 
 def _postings(rows: DataFrame, often: np.ndarray, ids: Ids, percent: int) -> DataFrame:
-    """(token, class, meta) of the lengthened prefixes, for the tokens that two or more classes have."""
+    """(token, class, meta, others) of the lengthened prefixes where a class of fitting size shares the token; others counts such classes of the token."""
     usual = int(np.median(often))
     posted = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("meta", pa.int64())])
+    kept = posted.append(pa.field("others", pa.int64()))
 
     def emit(batches):
         seen: set[int] = set()
@@ -184,35 +187,51 @@ def _postings(rows: DataFrame, often: np.ndarray, ids: Ids, percent: int) -> Dat
                 yield batch(posted, np.concatenate(t).view(np.int64), np.concatenate(c), np.concatenate(m))
 
     def shared(batches):
-        """Of rows in order of token and class, the distinct ones whose token has two classes or more; the last row waits for the next batch."""
-        last, joined = None, False  # the last distinct row, and whether the row before it had its token
+        """Of rows in order of token, meta and class, the distinct ones that some other class of their token can be a partner of."""
+        held = [np.zeros(0, np.int64)] * 3  # the last token's rows, which may go on in the next batch
+        large = None  # a token of too many rows to hold: they go on unpruned, which costs work but loses nothing
+
+        def partners(t, c, m):
+            first = np.ones(len(t), bool)
+            first[1:] = t[1:] != t[:-1]
+            group = np.cumsum(first) - 1
+            n, place, asked = m >> 32, m >> 4 & (1 << 28) - 1, m & 15
+            low, high = -(-percent * n // 100), np.minimum((100 + percent) * (n - place + asked - 1) // percent - n, 100 * n // percent)
+            key = group * _FAR + n  # ascending
+            other = np.searchsorted(key, group * _FAR + high, "right") - np.searchsorted(key, group * _FAR + low, "left") - (high >= n)
+            ok = np.flatnonzero((high >= low) & (other > 0))
+            size = np.bincount(group[ok], minlength=len(t))[group[ok]]
+            ok, size = ok[size > 1], size[size > 1]
+            return batch(kept, t[ok], c[ok], m[ok], size - 1)
+
         for b in batches:
-            t, c, m = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if last is not None:
-                t, c, m = (np.concatenate(([x], y)) for x, y in zip(last, (t, c, m), strict=True))
+            t, c, m = (np.concatenate((h, b.column(i).to_numpy(zero_copy_only=False))) for i, h in enumerate(held))
             one = np.ones(len(t), bool)
             one[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
             t, c, m = t[one], c[one], m[one]
-            if not len(t):
-                continue
-            inner = np.zeros(len(t), bool)
-            inner[1:] = t[1:] == t[:-1]
-            inner[0] = joined
-            done = np.flatnonzero(inner[:-1] | (t[1:] == t[:-1]))
-            yield batch(posted, t[done], c[done], m[done])
-            last, joined = (t[-1], c[-1], m[-1]), bool(inner[-1])
-        if joined:
-            yield batch(posted, *([x] for x in last))
-
-    dealt = rows.select("text").mapInArrow(emit, "token long, class long, meta long").repartition("token").sortWithinPartitions("token", "class")
-    return materialize(dealt.mapInArrow(shared, "token long, class long, meta long"), "jaccard-postings")
+            last = int(np.searchsorted(t, t[-1], "left")) if len(t) else 0
+            if large is not None and len(t):
+                k = int(np.searchsorted(t, large, "right"))
+                yield batch(kept, t[:k], c[:k], m[:k], np.full(k, GROUP_ROWS))
+                t, c, m, last = t[k:], c[k:], m[k:], max(0, last - k)
+                large = large if not len(t) else None
+            yield partners(t[:last], c[:last], m[:last])
+            held = [t[last:], c[last:], m[last:]]
+            if len(held[0]) > GROUP_ROWS:
+                large = held[0][0]
+                yield batch(kept, *held, np.full(len(held[0]), GROUP_ROWS))
+                held = [x[:0] for x in held]
+        yield partners(*held)
+
+    dealt = rows.select("text").mapInArrow(emit, "token long, class long, meta long").repartition("token").sortWithinPartitions("token", "meta", "class")
+    return materialize(dealt.mapInArrow(shared, "token long, class long, meta long, others long"), "jaccard-postings")
 
 
 # ---------------------------------------------------------------- verification
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, ids: Ids) -> DataFrame:
-    """(class, set) of the classes in nodes: the set's hashes in order, as bytes; a copy or more of each."""
+    """(class, set) of the classes in nodes: the set's hashes in order, as bytes; other classes may be there too."""
     wanted = bloom_of(nodes, "class", nodes.count())
     out = pa.schema([("class", pa.int64()), ("set", pa.binary())])
 
@@ -226,24 +245,24 @@ def _sets(rows: DataFrame, nodes: DataFrame, ids: Ids) -> DataFrame:
                     part = ok[i : i + 200]
                     yield batch(out, c[part], [u[at[k] : at[k + 1]].tobytes() for k in part])
 
-    return materialize(rows.select("text").mapInArrow(emit, "class long, set binary"), "jaccard-sets")
+    return materialize(rows.select("text").mapInArrow(emit, "class long, set binary").dropDuplicates(["class"]), "jaccard-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar; b is the side whose set is sent once for PART pairs."""
-    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "jaccard-ends")
-    wanted = bloom_of(ends, "class", ends.count())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = bloom_of(ends, "class", 2 * pairs.count())
 
     def chosen(batches):
         for b in batches:
-            ok = np.flatnonzero(wanted.has(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
-            yield b.take(pa.array(ok))
+            yield b.take(pa.array(np.flatnonzero(wanted.has(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))))
 
-    own = materialize(sets.mapInArrow(chosen, "class long, set binary").join(ends, "class", "left_semi").dropDuplicates(["class"]), "jaccard-chosen")
+    own = sets.mapInArrow(chosen, "class long, set binary")
     parts = pairs.groupBy("b").agg((F.floor(F.count(F.lit(1)) / PART) + 1).alias("parts"))
-    asked = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").alias("part"))
-    members = asked.join(own.select(F.col("class").alias("a"), "set"), "a").select("b", "part", "a", "set")
-    centres = parts.join(own.select(F.col("class").alias("b"), "set"), "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "set")
+    asked = materialize(pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").alias("part")), "jaccard-asked")
+    centres = asked.select(F.col("b").alias("class"), "b", "part", F.lit(None).cast("long").alias("a")).distinct()
+    roles = asked.select(F.col("a").alias("class"), "b", "part", "a").union(centres)
+    met = own.join(F.broadcast(roles) if asked.count() <= BROADCAST_ROWS else roles, "class").select("b", "part", "a", "set")
     link = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(batches):
@@ -262,10 +281,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     b.append(centre)
             yield batch(link, a, b)
 
-    met = members.union(centres).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    met = met.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
     out = materialize(met.mapInArrow(verify, "a long, b long"), "jaccard-links")
-    release(own)
-    release(ends)
+    release(asked)
     return out
 
 
@@ -299,14 +317,14 @@ def _crossing(live: DataFrame, percent: int) -> DataFrame:
     return materialize(n.where("shared >= asked").select("a", "b"), "jaccard-pairs")
 
 
-def _apart(live: DataFrame, group: DataFrame, pivots: DataFrame | None) -> DataFrame:
+def _apart(live: DataFrame, group: DataFrame, pivots: DataFrame) -> DataFrame:
     """The postings of tokens that classes of two or more components share, with the components of group; the tokens' pivots are used."""
     named = live.drop("component").join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    if pivots is not None:
-        named = named.join(pivots.select("token", "p_class"), "token", "left").withColumn("used", F.col("used") | F.coalesce(F.col("class") == F.col("p_class"), F.lit(False))).drop("p_class")
     named = materialize(named, "jaccard-named")
     mixed = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    out = materialize(named.join(mixed, "token", "left_semi"), "jaccard-apart")
+    used = F.col("used") | F.coalesce(F.col("class") == F.col("p_class"), F.lit(False))
+    out = named.join(mixed, "token").join(pivots.select("token", "p_class"), "token", "left").withColumn("used", used).drop("p_class")
+    out = materialize(out, "jaccard-apart")
     release(named)
     return out
 
@@ -358,9 +376,8 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, ids: Ids | None = N
 
     posted = _postings(rows, often, ids, percent)
     sets = _sets(rows, posted.select("class").distinct(), ids)
-    sizes = posted.groupBy("token").agg((F.count(F.lit(1)) - 1).alias("others"))
-    scores = posted.join(sizes, "token").groupBy("class").agg(F.sum("others").alias("score"))
-    live = materialize(posted.join(scores, "class").withColumns({"component": F.col("class"), "used": F.lit(False)}), "jaccard-apart")
+    scores = posted.groupBy("class").agg(F.sum("others").alias("score"))
+    live = materialize(posted.drop("others").join(scores, "class").withColumns({"component": F.col("class"), "used": F.lit(False)}), "jaccard-apart")
     release(posted)
     group, links = None, None
     while True:

@@ -105,8 +105,9 @@ def test_jaccard_join_against_brute_force(spark, odd_texts):
     assert got == components_by_force(texts)
 
 
-def test_jaccard_join_in_a_group_of_a_thousand_near_copies(spark):
+def test_jaccard_join_in_a_group_of_a_thousand_near_copies(spark, monkeypatch):
     """Edits that only their original links, a passage that dissimilar texts share, and two groups beside each other."""
+    from lexmill.llm import jaccard_join
     from lexmill.llm.jaccard_join import jaccard_components
 
     rng = random.Random(18)
@@ -118,8 +119,15 @@ def test_jaccard_join_in_a_group_of_a_thousand_near_copies(spark):
             w[at] = f"{rng.choice(WORDS)}e{k}"
         texts.append(" ".join(w))
     texts += [" ".join(other) + " " + prose(rng, rng.randint(2, 30)) for _ in range(150)] + [" ".join(base[:70] + other[:20])]
+    want = components_by_force(texts)
+    assert sorted(tuple(r) for r in jaccard_components(table(spark, texts)).collect()) == want
+    monkeypatch.setattr(jaccard_join, "GROUP_ROWS", 20)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard_join, "PART", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     got = sorted(tuple(r) for r in jaccard_components(table(spark, texts)).collect())
-    assert got == components_by_force(texts)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
     assert sum(c == 0 for _, _, c in got) > 900
 
 
