@@ -11,16 +11,18 @@ Equal sets are one class.  Links are found in steps so that a large group of nea
 copies never makes all of its pairs:
 
 1. Rounds of pivots: of each token's classes the one whose prefix is most shared
-   (an original rather than its edits) is the pivot, and every class is verified
-   against the best pivots of its tokens.  Rounds go on, with other pivots, while
-   they connect components.
+   (an original rather than its edits) is the pivot, and every class is compared
+   with the best pivots of its tokens.  Rounds go on, with other pivots, while they
+   connect components.
 2. What tokens still hold classes of two components is joined exactly.  A token's
    place in a prefix bounds the partner's size from both sides, so the join is
    keyed by token and a fine size band; a row whose token stands too late for any
    smaller or larger partner meets nothing.
 
-Sets that take part are written once; a verification sends each set to its pivot,
-whose own set goes once to each of the pivot's parts.
+Pairs are compared by small bitmaps first, which rule out what cannot be similar;
+what is left is verified by whole sets, once after the rounds and once after the
+join.  A comparison sends each body to its pivot, whose own body goes once to each
+of the pivot's parts.
 """
 
 from __future__ import annotations
@@ -44,8 +46,8 @@ SEEN_MAX = 1_000_000
 PIVOTS, WORTH = 2, 0.01
 #: Postings of one token that a task looks at together; more than any set's size.
 GROUP_ROWS, _FAR = 500_000, 1 << 34
-#: Ratio of neighbouring size bands; verifications that share one copy of a pivot's set; pairs of which the ids are broadcast (at most twice so many rows of four numbers).
-BAND, PART, BROADCAST_ROWS = 1.06, 512, 100_000
+#: Ratio of neighbouring size bands; comparisons that share one copy of a pivot's body.
+BAND, PART = 1.06, 512
 
 
 def shingle_slices(column: pa.Array, k: int = SHINGLE):
@@ -230,10 +232,30 @@ def _postings(rows: DataFrame, often: np.ndarray, ids: Ids, percent: int) -> Dat
 # ---------------------------------------------------------------- verification
 
 
-def _sets(rows: DataFrame, nodes: DataFrame, ids: Ids) -> DataFrame:
-    """(class, set) of the classes in nodes: the set's hashes in order, as bytes; other classes may be there too."""
-    wanted = bloom_of(nodes, "class", nodes.count())
-    out = pa.schema([("class", pa.int64()), ("set", pa.binary())])
+def parity(u: np.ndarray) -> np.ndarray:
+    """A bitmap of 2 to 4 bits a token, of a power of two of bits, in which each token flips one bit.
+
+    The bits in which two such maps differ are no more than the tokens that the sets
+    do not share, since a shared token flips the same bit in both.
+    """
+    bits = max(64, 1 << (2 * len(u) - 1).bit_length())
+    out = np.bincount((mix(u) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(out.astype(bool))
+
+
+def apart_at_least(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the tokens that two sets do not share, by their bitmaps; the longer one is folded."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _of_classes(rows: DataFrame, nodes: DataFrame, most: int, ids: Ids, what) -> DataFrame:
+    """(class, n, body) of the classes in nodes (and a few others): sizes and what(set) as bytes, one row each."""
+    wanted = bloom_of(nodes, "class", most)
+    out = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
 
     def emit(batches):
         seen: set[int] = set()
@@ -243,50 +265,59 @@ def _sets(rows: DataFrame, nodes: DataFrame, ids: Ids) -> DataFrame:
                 ok = [i for i in np.flatnonzero(wanted.has(c.view(np.uint64)) & (np.diff(at) > 0)).tolist() if not (c[i] in seen or (len(seen) < SEEN_MAX and seen.add(int(c[i]))))]
                 for i in range(0, len(ok), 200):
                     part = ok[i : i + 200]
-                    yield batch(out, c[part], [u[at[k] : at[k + 1]].tobytes() for k in part])
+                    yield batch(out, c[part], at[1:][part] - at[part], [what(u[at[k] : at[k + 1]]).tobytes() for k in part])
 
-    return materialize(rows.select("text").mapInArrow(emit, "class long, set binary").dropDuplicates(["class"]), "jaccard-sets")
+    return rows.select("text").mapInArrow(emit, "class long, n long, body binary").dropDuplicates(["class"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; b is the side whose set is sent once for PART pairs."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = bloom_of(ends, "class", 2 * pairs.count())
-
-    def chosen(batches):
-        for b in batches:
-            yield b.take(pa.array(np.flatnonzero(wanted.has(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))))
-
-    own = sets.mapInArrow(chosen, "class long, set binary")
+def _compared(pairs: DataFrame, bodies: DataFrame, fits, tag: str) -> DataFrame:
+    """The pairs (a, b) of which fits(size a, body a, size b, body b) holds; the body of b is sent once for PART pairs."""
     parts = pairs.groupBy("b").agg((F.floor(F.count(F.lit(1)) / PART) + 1).alias("parts"))
     asked = materialize(pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").alias("part")), "jaccard-asked")
     centres = asked.select(F.col("b").alias("class"), "b", "part", F.lit(None).cast("long").alias("a")).distinct()
     roles = asked.select(F.col("a").alias("class"), "b", "part", "a").union(centres)
-    met = own.join(F.broadcast(roles) if asked.count() <= BROADCAST_ROWS else roles, "class").select("b", "part", "a", "set")
+    met = bodies.join(roles, "class").select("b", "part", "a", "n", "body")
     link = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def verify(batches):
-        x = None
-        for batch_ in batches:
+    def compare(batches):
+        m = x = None
+        for rows in batches:
             a, b = [], []
-            for centre, node, raw in zip(batch_.column(0).to_pylist(), batch_.column(2).to_pylist(), batch_.column(3), strict=True):
-                y = np.frombuffer(raw.as_buffer(), np.uint64)
+            for centre, node, n, raw in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), rows.column(3).to_pylist(), rows.column(4), strict=True):
                 if node is None:
-                    x = y
-                    continue
-                few, many = (x, y) if len(x) < len(y) else (y, x)
-                both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                    m, x = n, raw.as_buffer()
+                elif fits(n, raw.as_buffer(), m, x):
                     a.append(node)
                     b.append(centre)
             yield batch(link, a, b)
 
     met = met.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    out = materialize(met.mapInArrow(verify, "a long, b long"), "jaccard-links")
+    out = materialize(met.mapInArrow(compare, "a long, b long"), tag)
     release(asked)
     return out
 
 
+def _alike(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their bitmaps let be similar: none that is similar is lost, few others stay."""
+
+    def fits(n, x, m, y):
+        return apart_at_least(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= n + m - 2 * (-(-percent * (n + m) // (100 + percent)))
+
+    return _compared(pairs, bitmaps, fits, "jaccard-alike")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, ids: Ids, percent: int) -> DataFrame:
+    """The pairs whose sets are similar, by the whole texts of their classes."""
+
+    def fits(n, x, m, y):
+        few, many = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+        both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+        return 100 * both >= percent * (n + m - both)
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+    return _compared(pairs, _of_classes(rows, ends, 2 * pairs.count(), ids, lambda u: u), fits, "jaccard-links")
+
+
 # ---------------------------------------------------------------- candidates
 
 
@@ -317,13 +348,15 @@ def _crossing(live: DataFrame, percent: int) -> DataFrame:
     return materialize(n.where("shared >= asked").select("a", "b"), "jaccard-pairs")
 
 
-def _apart(live: DataFrame, group: DataFrame, pivots: DataFrame) -> DataFrame:
+def _apart(live: DataFrame, group: DataFrame, pivots: DataFrame | None) -> DataFrame:
     """The postings of tokens that classes of two or more components share, with the components of group; the tokens' pivots are used."""
     named = live.drop("component").join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = materialize(named, "jaccard-named")
     mixed = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    used = F.col("used") | F.coalesce(F.col("class") == F.col("p_class"), F.lit(False))
-    out = named.join(mixed, "token").join(pivots.select("token", "p_class"), "token", "left").withColumn("used", used).drop("p_class")
+    out = named.join(mixed, "token")
+    if pivots is not None:
+        used = F.col("used") | F.coalesce(F.col("class") == F.col("p_class"), F.lit(False))
+        out = out.join(pivots.select("token", "p_class"), "token", "left").withColumn("used", used).drop("p_class")
     out = materialize(out, "jaccard-apart")
     release(named)
     return out
@@ -375,35 +408,40 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, ids: Ids | None = N
     members = members.select("doc_id", "n_shingles", "class")
 
     posted = _postings(rows, often, ids, percent)
-    sets = _sets(rows, posted.select("class").distinct(), ids)
-    scores = posted.groupBy("class").agg(F.sum("others").alias("score"))
-    live = materialize(posted.drop("others").join(scores, "class").withColumns({"component": F.col("class"), "used": F.lit(False)}), "jaccard-apart")
+    classes = materialize(posted.groupBy("class").agg(F.sum("others").alias("score")), "jaccard-scores")
+    left = classes.count()
+    bitmaps = materialize(_of_classes(rows, classes, left, ids, parity), "jaccard-bitmaps")
+    whole = posted.drop("others").join(classes, "class").withColumns({"component": F.col("class"), "used": F.lit(False)})
+    whole = live = materialize(whole, "jaccard-named")
     release(posted)
-    group, links = None, None
-    while True:
+    alike = None  # pairs that look similar: they join components for the rounds and are verified once, after them
+    while left:
         pivots = materialize(_pivots(live), "jaccard-pivots")
-        pairs = _by_pivot(live, pivots, percent)
-        left = live.select("class").distinct().count()
-        new = None if not left or no_rows(pairs) else _verified(pairs, sets, percent)
-        found = new.count() if new is not None else 0
+        new = _alike(_by_pivot(live, pivots, percent), bitmaps, percent)
+        found = new.count()
         if found:
-            links = new if links is None else links.union(new)
-            group = materialize(components(links, "jaccard-groups"), "jaccard-groups")
-            nxt = _apart(live, group, pivots)
-            release(live)
-            live = nxt
-        for x in (pairs, pivots):
-            release(x)
+            alike = new if alike is None else alike.union(new)
         if found <= WORTH * left:
             break
-    pairs = _crossing(live, percent)
-    if not no_rows(pairs) and not no_rows(new := _verified(pairs, sets, percent)):
+        looks = materialize(components(alike, "jaccard-groups"), "jaccard-groups")
+        nxt = _apart(live, looks, pivots)
+        release(pivots)
+        if live is not whole:
+            release(live)
+        live = nxt
+        left = live.select("class").distinct().count()
+    links = None if alike is None else _verified(alike.distinct(), rows, ids, percent)
+    group = docs.sparkSession.createDataFrame([], "node long, component long") if links is None else materialize(components(links, "jaccard-groups"), "jaccard-groups")
+    if alike is not None:  # by the links that are certain, every candidate pair of two components
+        pairs = _crossing(_apart(whole, group, None), percent).join(alike, ["a", "b"], "left_anti").join(alike.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    else:
+        pairs = _crossing(whole, percent)
+    pairs = _alike(pairs, bitmaps, percent)
+    if not no_rows(pairs) and not no_rows(new := _verified(pairs, rows, ids, percent)):
         links = new if links is None else links.union(new)
         group = materialize(components(links, "jaccard-groups"), "jaccard-groups")
-    for x in (pairs, live, sets):
+    for x in (whole, bitmaps, classes):
         release(x)
-    if group is None:
-        group = docs.sparkSession.createDataFrame([], "node long, component long")
     return members, group, ids
 
 

@@ -122,7 +122,6 @@ def test_jaccard_join_in_a_group_of_a_thousand_near_copies(spark, monkeypatch):
     want = components_by_force(texts)
     assert sorted(tuple(r) for r in jaccard_components(table(spark, texts)).collect()) == want
     monkeypatch.setattr(jaccard_join, "GROUP_ROWS", 20)
-    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(jaccard_join, "PART", 7)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     got = sorted(tuple(r) for r in jaccard_components(table(spark, texts)).collect())
@@ -157,6 +156,19 @@ def test_jaccard_join_of_repeated_ids_and_empty_tables(spark):
     assert one_of_each(unlinked).count() == 1 and [tuple(r) for r in jaccard_components(unlinked).collect()] == [(1, 36, 1)]
 
 
+def test_bitmaps_never_lose_a_pair():
+    from lexmill.llm.jaccard_join import apart_at_least, parity
+
+    rng, ruled_out = np.random.default_rng(2), 0
+    for k in range(400):
+        a = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 900))).astype(np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) > 0.4 * (k % 10) / 10], rng.integers(0, 1 << 62, int(rng.integers(0, 300))).astype(np.uint64))))
+        differ = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+        assert apart_at_least(parity(a), parity(b)) <= differ
+        ruled_out += 100 * (len(a) + len(b) - differ) < 60 * (len(a) + len(b) + differ) and apart_at_least(parity(a), parity(b)) > len(a) + len(b) - 2 * (-(-75 * (len(a) + len(b)) // 175))
+    assert ruled_out > 50
+
+
 def test_prefixes_never_lose_a_pair():
     from lexmill.llm.jaccard_join import least_overlap, prefix
 
