@@ -271,7 +271,12 @@ def _of_classes(rows: DataFrame, nodes: DataFrame, most: int, ids: Ids, what) ->
 
 
 def _compared(pairs: DataFrame, bodies: DataFrame, fits, tag: str) -> DataFrame:
-    """The pairs (a, b) of which fits(size a, body a, size b, body b) holds; the body of b is sent once for PART pairs."""
+    """The pairs (a, b), in either order, of which fits(size a, body a, size b, body b) holds; the body of the one of more pairs is sent once for PART pairs."""
+    many = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    for x in "ab":
+        pairs = pairs.join(many.withColumnsRenamed({"class": x, "links": f"links_{x}"}), x)
+    turned = F.col("links_a") > F.col("links_b")  # the one of more pairs is the pivot
+    pairs = materialize(pairs.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b")), "jaccard-pairs")
     parts = pairs.groupBy("b").agg((F.floor(F.count(F.lit(1)) / PART) + 1).alias("parts"))
     asked = materialize(pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").alias("part")), "jaccard-asked")
     centres = asked.select(F.col("b").alias("class"), "b", "part", F.lit(None).cast("long").alias("a")).distinct()
