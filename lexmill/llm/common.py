@@ -175,6 +175,24 @@ def parts_of(b: pa.RecordBatch, column: int, rows: int = 256, size: int = 32 <<
         i = j
 
 
+def tidy(run):
+    """run, a function over a task's batches, which gives the memory that it freed back to the system at its end."""
+
+    def whole(batches):
+        import ctypes
+        import gc
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # only some C libraries have it
+            pass
+
+    return whole
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

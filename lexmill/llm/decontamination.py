@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import batch, gram_hashes, slices, word_hashes
+from .common import batch, gram_hashes, slices, tidy, word_hashes
 
 #: Words of a seed, least score of a leak as a share of the item's words, and in words (all of an item that has fewer).
 SEED, LEAK, SURE = 4, 0.5, 6
@@ -189,7 +189,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 ids = b.column(0).to_pylist()
                 yield batch(out, [ids[r] for r, *_ in found], [own.ids[x] for _, x, *_ in found], *([f[k] for f in found] for k in (2, 3, 4)))
 
-        part = rows.mapInArrow(match, ddl)
+        part = rows.mapInArrow(tidy(match), ddl)
         result = part if result is None else result.union(part)
     return docs.sparkSession.createDataFrame([], ddl) if result is None else result
 
@@ -206,5 +206,5 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 ok[[r for r, *_ in _found(b.column(at).cast(pa.string()), seeds.value)]] = False
                 yield b.filter(pa.array(ok))
 
-        docs = docs.mapInArrow(keep, schema)
+        docs = docs.mapInArrow(tidy(keep), schema)
     return docs

@@ -14,7 +14,7 @@ from array import array
 import numpy as np
 
 #: Pieces that a worker keeps at most, and the longest one kept (in characters); others are encoded each time they come.
-MEMO_PIECES, MEMO_LENGTH = 400_000, 64
+MEMO_PIECES, MEMO_LENGTH = 150_000, 64
 #: Two spaces in a row or a space beside another white space: the byte-level pattern looks past the cut there.
 _CLOSE = re.compile(r"\s \s?|\s ")
 #: Latin letters whose lower case is one letter (U+0130 has two), and marks but the apostrophe, which begins contractions.

@@ -10,18 +10,18 @@ shares min(l_x, l_y) tokens in the prefixes of that length for its two sizes.
 Equal sets are one class.  Links are found in steps so that a large group of near
 copies never makes all of its pairs:
 
-1. Rounds of pivots: of each token's classes the one whose prefix is most shared
-   (an original rather than its edits) is the pivot, and every class is compared
-   with the best pivots of its tokens.  Rounds go on, with other pivots, while they
-   connect components.
+1. Rounds of pivots: of each token's classes the few whose prefixes are most shared
+   (an original rather than its edits) are pivots, and every class is compared with
+   the pivots of its tokens.  Rounds go on, with other pivots, while they connect
+   components.
 2. What tokens still hold classes of two components is joined exactly.  A token's
    place in a prefix bounds the partner's size from both sides, so the join is
    keyed by token and a fine size band; a row whose token stands too late for any
    smaller or larger partner meets nothing.
 
 Pairs are compared by small bitmaps first, which rule out what cannot be similar;
-what is left is verified by whole sets, once after the rounds and once after the
-join.  A comparison sends each body to its pivot, whose own body goes once to each
+what is left is verified by whole sets, once after the rounds (a pair of each class)
+and once after the join (pairs whose ends are not connected yet).  A comparison sends each body to its pivot, whose own body goes once to each
 of the pivot's parts.
 """
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, bloom_of, components, gram_hashes, materialize, mix, no_rows, release, slices, span_hashes, word_hashes, words
+from .common import batch, bloom_of, components, gram_hashes, materialize, mix, no_rows, release, slices, span_hashes, tidy, word_hashes, words
 
 #: Words in a shingle, similarity in hundredths, longest multi-match, counters of the frequency sketch.
 SHINGLE, PERCENT, MATCHES_MAX, COUNTERS = 5, 75, 4, 1 << 18
@@ -42,8 +42,8 @@ SHINGLE, PERCENT, MATCHES_MAX, COUNTERS = 5, 75, 4, 1 << 18
 VERIFY_COST = 40
 #: Classes whose prefixes a task remembers, so that it does not emit copies again.
 SEEN_MAX = 1_000_000
-#: Pivots that a class is verified against in a round; rounds go on while they link this share of the classes left.
-PIVOTS, WORTH = 2, 0.01
+#: Pivots of a token in a round; rounds go on while they find pairs for this share of the classes left.
+PIVOTS, WORTH = 4, 0.01
 #: Postings of one token that a task looks at together; more than any set's size.
 GROUP_ROWS, _FAR = 500_000, 1 << 34
 #: Ratio of neighbouring size bands; comparisons that share one copy of a pivot's body.
@@ -225,8 +225,8 @@ def _postings(rows: DataFrame, often: np.ndarray, ids: Ids, percent: int) -> Dat
                 held = [x[:0] for x in held]
         yield partners(*held)
 
-    dealt = rows.select("text").mapInArrow(emit, "token long, class long, meta long").repartition("token").sortWithinPartitions("token", "meta", "class")
-    return materialize(dealt.mapInArrow(shared, "token long, class long, meta long, others long"), "jaccard-postings")
+    dealt = rows.select("text").mapInArrow(tidy(emit), "token long, class long, meta long").repartition("token").sortWithinPartitions("token", "meta", "class")
+    return materialize(dealt.mapInArrow(tidy(shared), "token long, class long, meta long, others long"), "jaccard-postings")
 
 
 # ---------------------------------------------------------------- verification
@@ -267,7 +267,7 @@ def _of_classes(rows: DataFrame, nodes: DataFrame, most: int, ids: Ids, what) ->
                     part = ok[i : i + 200]
                     yield batch(out, c[part], at[1:][part] - at[part], [what(u[at[k] : at[k + 1]]).tobytes() for k in part])
 
-    return rows.select("text").mapInArrow(emit, "class long, n long, body binary").dropDuplicates(["class"])
+    return rows.select("text").mapInArrow(tidy(emit), "class long, n long, body binary").dropDuplicates(["class"])
 
 
 def _compared(pairs: DataFrame, bodies: DataFrame, fits, tag: str) -> DataFrame:
@@ -327,17 +327,16 @@ def _verified(pairs: DataFrame, rows: DataFrame, ids: Ids, percent: int) -> Data
 
 
 def _pivots(live: DataFrame) -> DataFrame:
-    """Of each token the class that shares most, of those that have not been its pivot."""
-    best = F.max(F.struct("score", F.col("class").alias("p_class"), F.col("meta").alias("p_meta"), F.col("component").alias("p_component")))
-    return live.where("not used").groupBy("token").agg(best.alias("p")).select("token", "p.p_class", "p.p_meta", "p.p_component")
+    """(token, p_class, p_meta, p_component): of each token the PIVOTS classes that share most, of those that have not been its pivots."""
+    rank = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("score"), "class"))
+    best = live.where("not used").withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
+    return best.select("token", F.col("class").alias("p_class"), F.col("meta").alias("p_meta"), F.col("component").alias("p_component"))
 
 
 def _by_pivot(live: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each class with the PIVOTS pivots b, of other components, with which it shares most tokens."""
+    """(a, b): the classes with the pivots, of other components, of each of their tokens."""
     met = live.join(pivots, "token").where("component <> p_component").where(_fits("meta", "p_meta", percent))
-    n = met.groupBy(F.col("class").alias("a"), F.col("p_class").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
-    return materialize(n.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("a", "b"), "jaccard-pairs")
+    return materialize(met.select(F.least("class", "p_class").alias("a"), F.greatest("class", "p_class").alias("b")).distinct(), "jaccard-pairs")
 
 
 def _crossing(live: DataFrame, percent: int) -> DataFrame:
@@ -360,8 +359,8 @@ def _apart(live: DataFrame, group: DataFrame, pivots: DataFrame | None) -> DataF
     mixed = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
     out = named.join(mixed, "token")
     if pivots is not None:
-        used = F.col("used") | F.coalesce(F.col("class") == F.col("p_class"), F.lit(False))
-        out = out.join(pivots.select("token", "p_class"), "token", "left").withColumn("used", used).drop("p_class")
+        own = pivots.select("token", F.col("p_class").alias("class"), F.lit(True).alias("now"))
+        out = out.join(own, ["token", "class"], "left").withColumn("used", F.col("used") | F.coalesce("now", F.lit(False))).drop("now")
     out = materialize(out, "jaccard-apart")
     release(named)
     return out
@@ -394,7 +393,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, ids: Ids | None = N
         z, none = zstandard.ZstdCompressor(level=1), [None] * 16
         yield batch(first, none, none, none, none, [*range(16)], [z.compress(x.tobytes()) for x in often.reshape(16, -1)])
 
-    described = materialize(rows.mapInArrow(describe, "doc_id long, n_shingles long, class long, checked long, block int, counts binary"), "jaccard-docs")
+    described = materialize(rows.mapInArrow(tidy(describe), "doc_id long, n_shingles long, class long, checked long, block int, counts binary"), "jaccard-docs")
     often = _sketch(described.where("block is not null").select("block", "counts"))
     members = described.where("block is null")
     twice = members.groupBy("class").agg(F.min("checked").alias("x"), F.max("checked").alias("y")).where("x < y")
@@ -419,9 +418,10 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, ids: Ids | None = N
     whole = posted.drop("others").join(classes, "class").withColumns({"component": F.col("class"), "used": F.lit(False)})
     whole = live = materialize(whole, "jaccard-named")
     release(posted)
-    alike = None  # pairs that look similar: they join components for the rounds and are verified once, after them
+    alike = first = None  # pairs that look similar join components for the rounds; they are verified after them
     while left:
         pivots = materialize(_pivots(live), "jaccard-pivots")
+        first = pivots if first is None else first
         new = _alike(_by_pivot(live, pivots, percent), bitmaps, percent)
         found = new.count()
         if found:
@@ -430,21 +430,26 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, ids: Ids | None = N
             break
         looks = materialize(components(alike, "jaccard-groups"), "jaccard-groups")
         nxt = _apart(live, looks, pivots)
-        release(pivots)
         if live is not whole:
             release(live)
         live = nxt
         left = live.select("class").distinct().count()
-    links = None if alike is None else _verified(alike.distinct(), rows, ids, percent)
-    group = docs.sparkSession.createDataFrame([], "node long, component long") if links is None else materialize(components(links, "jaccard-groups"), "jaccard-groups")
-    if alike is not None:  # by the links that are certain, every candidate pair of two components
-        pairs = _crossing(_apart(whole, group, None), percent).join(alike, ["a", "b"], "left_anti").join(alike.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    else:
-        pairs = _crossing(whole, percent)
-    pairs = _alike(pairs, bitmaps, percent)
-    if not no_rows(pairs) and not no_rows(new := _verified(pairs, rows, ids, percent)):
-        links = new if links is None else links.union(new)
-        group = materialize(components(links, "jaccard-groups"), "jaccard-groups")
+    spark = docs.sparkSession
+    alike = spark.createDataFrame([], "a long, b long") if alike is None else alike.distinct()
+    # each class's first pair connects most of what is connected
+    each = alike.union(alike.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
+    each = materialize(each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+    links = spark.createDataFrame([], "a long, b long") if no_rows(each) else _verified(each, rows, ids, percent)
+    group = materialize(components(links, "jaccard-groups"), "jaccard-groups")
+    if first is not None:  # what was met by a first pivot is in alike, or not similar: such pivots' postings meet nothing more
+        rest = whole.join(first.select("token", F.col("p_class").alias("class")), ["token", "class"], "left_anti")
+        pairs = _alike(_crossing(_apart(rest, group, None), percent), bitmaps, percent).union(alike).distinct()
+        for x in "ab":
+            own = group.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+            pairs = pairs.join(own, x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+        pairs = materialize(pairs.where("ca <> cb").select("a", "b"), "jaccard-pairs")
+        if not no_rows(pairs) and not no_rows(new := _verified(pairs, rows, ids, percent)):
+            group = materialize(components(links.union(new), "jaccard-groups"), "jaccard-groups")
     for x in (whole, bitmaps, classes):
         release(x)
     return members, group, ids

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, parts_of
+from .common import batch, materialize, parts_of, tidy
 
 #: Open bins of a task: enough that nearly every closed bin is full, few enough to bound memory.
 OPEN_BINS = 512
@@ -141,7 +141,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int
 
         return run
 
-    placed = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(first, _DDL), "packing-0")
+    placed = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(first), _DDL), "packing-0")
     result, level, parts = placed.where("not loose"), 0, (placed.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         level, parts = level + 1, -(-parts // FAN)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, parts_of
+from .common import batch, materialize, parts_of, tidy
 
 MAGIC = b"LXTK1\0\0\0"
 #: The dictionary is fitted on at most so many documents, none longer than so many characters, of at most so many ids in all.
@@ -156,7 +156,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFram
         if ids:
             yield out()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, "part int, doc_id long, n int, crc long, frame binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(pack), "part int, doc_id long, n int, crc long, frame binary")
     dealt = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n", "crc", "frame")
     table = materialize(dealt.mapInArrow(build, "part int, block int, doc_ids array<long>, before long, n_tokens long, image binary"), "token-blocks")
     return table, dictionary

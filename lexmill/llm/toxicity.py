@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: The model is fitted on at most so many labelled documents of each class (smallest id hashes) and so many characters each, a third of them for calibration.
 FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 1000, 2000, 50_000
 #: Words of a window, times a document is covered, bytes of a beginning, beginnings kept, the score that decides.
@@ -213,4 +215,4 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
             s = [score(t or "") for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array([int(x >= CUT) for x in s], pa.int32())], names=[*b.schema.names, "score", "predicted"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
