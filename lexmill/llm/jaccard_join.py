@@ -20,7 +20,7 @@ copies never makes all of its pairs:
    smaller or larger partner meets nothing.
 
 Pairs are compared by small bitmaps first, which rule out what cannot be similar;
-what is left is verified by whole sets, once after the rounds (a pair of each class)
+what is left is verified by whole sets, once after the rounds (the nearest pairs of each class)
 and once after the join (pairs whose ends are not connected yet).  A comparison sends each body to its pivot, whose own body goes once to each
 of the pivot's parts.
 """
@@ -44,6 +44,8 @@ VERIFY_COST = 40
 SEEN_MAX = 1_000_000
 #: Pivots of a token in a round; rounds go on while they find pairs for this share of the classes left.
 PIVOTS, WORTH = 4, 0.01
+#: Pairs of a class that are verified right after the rounds.
+NEAREST = 2
 #: Postings of one token that a task looks at together; more than any set's size.
 GROUP_ROWS, _FAR = 500_000, 1 << 34
 #: Ratio of neighbouring size bands; comparisons that share one copy of a pivot's body.
@@ -149,14 +151,13 @@ def _asked(meta: str | Column) -> Column:
 
 
 def _partner(meta: str | Column, percent: int) -> Column:
-    """The largest partner for which the token stands early enough: o <= size - place + asked - 1."""
-    room = _size(meta) - _place(meta) + _asked(meta) - 1
-    return F.floor((100 + percent) * room / percent).cast("long") - _size(meta)
+    """The largest partner for which the token stands early enough to be the first shared one: o <= size - place."""
+    return F.floor((100 + percent) * (_size(meta) - _place(meta)) / percent).cast("long") - _size(meta)
 
 
-def _fits(a: str | Column, b: str | Column, percent: int) -> Column:
-    """Whether a shared token counts for two postings: sizes that can be similar, places within the prefixes of that pair."""
-    n, m, asked = _size(a), _size(b), F.least(_asked(a), _asked(b))
+def _fits(a: str | Column, b: str | Column, percent: int, asked: Column | None = None) -> Column:
+    """Whether a shared token counts for two postings: sizes that can be similar, places within the prefixes of that pair for so many matches (one, if not given)."""
+    n, m, asked = _size(a), _size(b), F.lit(1) if asked is None else asked
     overlap = F.ceil(percent * (n + m) / (100 + percent))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_place(a) < n - overlap + asked) & (_place(b) < m - overlap + asked)
 
@@ -270,8 +271,8 @@ def _of_classes(rows: DataFrame, nodes: DataFrame, most: int, ids: Ids, what) ->
     return rows.select("text").mapInArrow(tidy(emit), "class long, n long, body binary").dropDuplicates(["class"])
 
 
-def _compared(pairs: DataFrame, bodies: DataFrame, fits, tag: str) -> DataFrame:
-    """The pairs (a, b), in either order, of which fits(size a, body a, size b, body b) holds; the body of the one of more pairs is sent once for PART pairs."""
+def _compared(pairs: DataFrame, bodies: DataFrame, gap, tag: str) -> DataFrame:
+    """(a, b, gap) of the pairs, in either order, for which gap(size a, body a, size b, body b) is not None; the body of the one of more pairs is sent once for PART pairs."""
     many = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
     for x in "ab":
         pairs = pairs.join(many.withColumnsRenamed({"class": x, "links": f"links_{x}"}), x)
@@ -282,45 +283,47 @@ def _compared(pairs: DataFrame, bodies: DataFrame, fits, tag: str) -> DataFrame:
     centres = asked.select(F.col("b").alias("class"), "b", "part", F.lit(None).cast("long").alias("a")).distinct()
     roles = asked.select(F.col("a").alias("class"), "b", "part", "a").union(centres)
     met = bodies.join(roles, "class").select("b", "part", "a", "n", "body")
-    link = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    link = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("gap", pa.int64())])
 
     def compare(batches):
         m = x = None
         for rows in batches:
-            a, b = [], []
+            a, b, g = [], [], []
             for centre, node, n, raw in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), rows.column(3).to_pylist(), rows.column(4), strict=True):
                 if node is None:
                     m, x = n, raw.as_buffer()
-                elif fits(n, raw.as_buffer(), m, x):
+                elif (d := gap(n, raw.as_buffer(), m, x)) is not None:
                     a.append(node)
                     b.append(centre)
-            yield batch(link, a, b)
+                    g.append(d)
+            yield batch(link, a, b, g)
 
     met = met.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    out = materialize(met.mapInArrow(compare, "a long, b long"), tag)
+    out = materialize(met.mapInArrow(compare, "a long, b long, gap long"), tag)
     release(asked)
     return out
 
 
 def _alike(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """The pairs that their bitmaps let be similar: none that is similar is lost, few others stay."""
+    """(a, b, gap) of the pairs that their bitmaps let be similar: none that is similar is lost, few others stay; gap is the share of tokens apart, in thousandths."""
 
-    def fits(n, x, m, y):
-        return apart_at_least(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= n + m - 2 * (-(-percent * (n + m) // (100 + percent)))
+    def gap(n, x, m, y):
+        apart = apart_at_least(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))
+        return 1000 * apart // (n + m) if apart <= n + m - 2 * (-(-percent * (n + m) // (100 + percent))) else None
 
-    return _compared(pairs, bitmaps, fits, "jaccard-alike")
+    return _compared(pairs, bitmaps, gap, "jaccard-alike")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, ids: Ids, percent: int) -> DataFrame:
     """The pairs whose sets are similar, by the whole texts of their classes."""
 
-    def fits(n, x, m, y):
+    def gap(n, x, m, y):
         few, many = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
         both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
-        return 100 * both >= percent * (n + m - both)
+        return 0 if 100 * both >= percent * (n + m - both) else None
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class"))
-    return _compared(pairs, _of_classes(rows, ends, 2 * pairs.count(), ids, lambda u: u), fits, "jaccard-links")
+    return _compared(pairs, _of_classes(rows, ends, 2 * pairs.count(), ids, lambda u: u), gap, "jaccard-links").select("a", "b")
 
 
 # ---------------------------------------------------------------- candidates
@@ -339,8 +342,13 @@ def _by_pivot(live: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     return materialize(met.select(F.least("class", "p_class").alias("a"), F.greatest("class", "p_class").alias("b")).distinct(), "jaccard-pairs")
 
 
-def _crossing(live: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every candidate pair of two components, a the smaller set."""
+def _crossing(live: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every candidate pair of two components, a the smaller set.
+
+    A pair has a token in the plain prefixes of its sizes (live has those postings);
+    it is a candidate if the prefixes for the matches asked for share as many tokens
+    (whole has all postings).
+    """
     band = lambda n: F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
     most = F.least(_partner("meta", percent), F.floor(100 * _size("meta") / percent).cast("long"))
     small = live.withColumn("most", most).where(F.col("most") >= _size("meta"))
@@ -348,8 +356,15 @@ def _crossing(live: DataFrame, percent: int) -> DataFrame:
     large = live.where(100 * _partner("meta", percent) >= percent * _size("meta")).select("token", F.col("class").alias("b"), F.col("meta").alias("bm"), F.col("component").alias("bc"), band(_size("meta")).alias("band"))
     order = (_size("am") < _size("bm")) | ((_size("am") == _size("bm")) & (F.col("a") < F.col("b")))
     met = small.join(large, ["token", "band"]).where((F.col("ac") != F.col("bc")) & order & _fits("am", "bm", percent))
-    n = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.least(_asked("am"), _asked("bm"))).alias("asked"))
-    return materialize(n.where("shared >= asked").select("a", "b"), "jaccard-pairs")
+    asked = F.least(_asked("am"), _asked("bm"))
+    pairs = materialize(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(asked).alias("asked")), "jaccard-met")
+    few = pairs.where("shared < asked").select("a", "b", "asked")
+    if no_rows(few):
+        return materialize(pairs.select("a", "b"), "jaccard-pairs")
+    own = few.join(whole.select(F.col("class").alias("a"), "token", F.col("meta").alias("am")), "a")
+    both = own.join(whole.select(F.col("class").alias("b"), "token", F.col("meta").alias("bm")), ["b", "token"]).where(_fits("am", "bm", percent, F.col("asked")))
+    enough = both.groupBy("a", "b", "asked").agg(F.count(F.lit(1)).alias("shared")).where("shared >= asked")
+    return materialize(pairs.where("shared >= asked").select("a", "b").union(enough.select("a", "b")), "jaccard-pairs")
 
 
 def _apart(live: DataFrame, group: DataFrame, pivots: DataFrame | None) -> DataFrame:
@@ -428,22 +443,22 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, ids: Ids | None = N
             alike = new if alike is None else alike.union(new)
         if found <= WORTH * left:
             break
-        looks = materialize(components(alike, "jaccard-groups"), "jaccard-groups")
+        looks = materialize(components(alike.select("a", "b"), "jaccard-groups"), "jaccard-groups")
         nxt = _apart(live, looks, pivots)
         if live is not whole:
             release(live)
         live = nxt
         left = live.select("class").distinct().count()
     spark = docs.sparkSession
-    alike = spark.createDataFrame([], "a long, b long") if alike is None else alike.distinct()
-    # each class's first pair connects most of what is connected
-    each = alike.union(alike.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
+    alike = spark.createDataFrame([], "a long, b long, gap long") if alike is None else alike
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("gap", "b"))  # each class's nearest pairs connect most of what is connected
+    each = alike.union(alike.select("b", "a", "gap")).withColumn("rank", rank).where(F.col("rank") <= NEAREST)
     each = materialize(each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
     links = spark.createDataFrame([], "a long, b long") if no_rows(each) else _verified(each, rows, ids, percent)
     group = materialize(components(links, "jaccard-groups"), "jaccard-groups")
     if first is not None:  # what was met by a first pivot is in alike, or not similar: such pivots' postings meet nothing more
         rest = whole.join(first.select("token", F.col("p_class").alias("class")), ["token", "class"], "left_anti")
-        pairs = _alike(_crossing(_apart(rest, group, None), percent), bitmaps, percent).union(alike).distinct()
+        pairs = _alike(_crossing(_apart(rest, group, None), whole, percent), bitmaps, percent).union(alike).select("a", "b").distinct()
         for x in "ab":
             own = group.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
             pairs = pairs.join(own, x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
