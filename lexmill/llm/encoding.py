@@ -13,7 +13,7 @@ from array import array
 
 import numpy as np
 
-#: Pieces that a worker keeps at most, and the longest one kept (in characters); others are encoded each time they come.
+#: Pieces that a worker keeps at most (some 200 bytes each), unless a caller says otherwise, and the longest one kept (in characters); others are encoded each time they come.
 MEMO_PIECES, MEMO_LENGTH = 150_000, 64
 #: Two spaces in a row or a space beside another white space: the byte-level pattern looks past the cut there.
 _CLOSE = re.compile(r"\s \s?|\s ")
@@ -29,10 +29,11 @@ _ALPHABET = {b: b if b in _SELF else 256 + sum(x not in _SELF for x in range(b))
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of the tokenizer file at path; its memo serves all the worker's tasks."""
+def encoder(path: str, pieces: int = MEMO_PIECES) -> Encoder:
+    """The worker's encoder of the tokenizer file at path; its memo of so many pieces serves all the worker's tasks."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].pieces = pieces
     return _encoders[path]
 
 
@@ -47,6 +48,7 @@ class Encoder:
         self.leading = "Split" not in repr(self.tok.pre_tokenizer)  # byte-level pieces keep the space before a word
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        self.pieces = MEMO_PIECES
         self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -93,7 +95,7 @@ class Encoder:
                 out[i] = x = get(p)
                 if x is None:
                     out[i] = x = self._piece(p)
-                    if len(memo) < MEMO_PIECES and len(p) <= MEMO_LENGTH:
+                    if len(memo) < self.pieces and len(p) <= MEMO_LENGTH:
                         memo[p] = x
         if self.leading:  # the first piece has no space before it
             out[0] = self.whole(pieces[0])

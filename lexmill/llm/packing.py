@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, materialize, parts_of, tidy
+from .encoding import MEMO_PIECES
 
 #: Open bins of a task: enough that nearly every closed bin is full, few enough to bound memory.
 OPEN_BINS = 512
@@ -96,7 +97,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return batch(_PLACED, *([*zip(*rows, strict=True)] if rows else [[] for _ in _PLACED]))
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, open_bins: int = OPEN_BINS) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, open_bins: int = OPEN_BINS, pieces: int = MEMO_PIECES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document.
 
     Each document is its ids and the end id; only those longer than size are cut,
@@ -106,13 +107,13 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int
     tasks' together, until one task has packed the last of them, so that the number
     of sequences does not follow the number of tasks.  A null text is empty (one
     end id); repeated rows are packed each; an empty table gives no rows; other
-    columns are not read.
+    columns are not read.  A worker keeps the ids of so many pieces of text.
     """
 
     def first(batches):
         from .encoding import encoder
 
-        enc, end = encoder(tokenizer), struct.pack("<I", end_id)
+        enc, end = encoder(tokenizer, pieces), struct.pack("<I", end_id)
         packer = Packer(size, open_bins, 0, TaskContext.get().partitionId())
         for whole in batches:
             for b in parts_of(whole, 1):

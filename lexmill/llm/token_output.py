@@ -33,6 +33,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_IDS, DICT_BYTES = 1500, 20_000, 1_500_000, 64
 #: A block is closed at so many bytes of frames; a range of documents has about so many bytes of input, and there are at most so many ranges.
 BLOCK_BYTES, PART_BYTES, PARTS_MAX = 4 << 20, 256 << 20, 20_000
 LEVEL = 3
+#: Pieces of text whose ids a worker keeps.
+PIECES = 800_000
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -128,7 +130,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFram
         if shared:
             shared.precompute_compress(level=LEVEL)
         c = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
-        enc, end, bounds = encoder(tokenizer), struct.pack("<I", end_id), np.array(cuts, np.int64)
+        enc, end, bounds = encoder(tokenizer, PIECES), struct.pack("<I", end_id), np.array(cuts, np.int64)
         for whole in batches:
             for b in parts_of(whole, 1):
                 ids = [enc.ids(t or "").tobytes() + end for t in b.column(1).to_pylist()]
