@@ -34,7 +34,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_IDS, DICT_BYTES = 1500, 20_000, 1_500_000, 64
 BLOCK_BYTES, PART_BYTES, PARTS_MAX = 4 << 20, 256 << 20, 20_000
 LEVEL = 3
 #: Pieces of text whose ids a worker keeps.
-PIECES = 800_000
+PIECES = 1_400_000
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
