@@ -113,3 +113,26 @@ def set_tags(tags: Column, add: Column, remove: Column) -> Column:
     """An ordered tag list in which both commas are read and ， is written."""
     own = F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), "[,，]"), lambda t: F.trim(t)), lambda t: t != "")
     return F.array_join(F.array_except(F.array_distinct(F.concat(own, add)), remove), "，")
+
+
+def looks_binary(text: Column) -> Column:
+    """Whether the first 4 KB have a NUL or more than a tenth of unreadable characters."""
+    head = F.substring(text, 1, 4096)
+    odd = F.length(F.regexp_replace(head, "[^\\x00-\\x08\\x0E-\\x1F\\uFFFD]", ""))
+    return head.contains("\0") | (odd * 10 > F.length(head))
+
+
+def by_dictionary(text: Column, pairs: dict[str, str]) -> Column:
+    """text with single characters replaced by a dictionary; others stay."""
+    return F.translate(text, "".join(pairs), "".join(pairs.values()))
+
+
+def material(raw: Column) -> Column:
+    """struct(title, tags, body) of a material file: ``# title``, then ``@TAGS a|b`` if it has tags, then the body; no title, no tags."""
+    lines = F.split(raw, "\n")
+    first, second = F.get(lines, 0), F.coalesce(F.get(lines, 1), F.lit(""))
+    title = F.when(first.startswith("# "), F.trim(F.substring(first, F.lit(3), F.length(first)))).otherwise("")
+    tagged = (title != "") & second.startswith("@TAGS ")
+    tags = F.when(tagged, F.transform(F.split(F.substring(second, F.lit(7), F.length(second)), "\\|"), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
+    skipped = F.when(tagged, 2).when(title != "", 1).otherwise(0)
+    return F.struct(title.alias("title"), tags.alias("tags"), F.array_join(F.slice(lines, skipped + 1, F.greatest(F.size(lines) - skipped, F.lit(0))), "\n").alias("body"))

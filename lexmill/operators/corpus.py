@@ -84,3 +84,10 @@ def verify(manifest_: DataFrame, actual: DataFrame) -> DataFrame:
     j = manifest_.select("name", "bytes", "sha256").join(a, "name", "full_outer")
     problem = F.when(F.col("s2").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when(F.col("bytes") != F.col("b2"), "length").when(F.col("sha256") != F.col("s2"), "digest")
     return j.select("name", problem.alias("problem")).where("problem is not null")
+
+
+def like_any(column: str, keyword: str) -> Column:
+    """column LIKE %keyword%, in which the keyword's own wildcards and escapes are plain characters."""
+    for c in ("\\", "%", "_"):
+        keyword = keyword.replace(c, "\\" + c)
+    return F.col(column).like(f"%{keyword}%")

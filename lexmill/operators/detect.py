@@ -12,7 +12,7 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HIT = "start int, end int, wrong string, suggestion string, category string, confidence double"
@@ -172,3 +172,28 @@ def apply_plan(plan_: DataFrame, docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "content", "applied", "skipped"])
 
     return docs.select("id", "content").join(hits, "id").mapInPandas(run, "id long, content string, applied int, skipped int")
+
+
+#: Spans that corrections leave alone: links, addresses, titles, quotations, code, quantities with units.
+PROTECTED = r"""https?://[^\s<>"”》]+|[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}|《[^《》\n]*》|“[^“”\n]*”|"[^"\n]*"|`[^`\n]*`|[0-9]+(?:\.[0-9]+)?(?:%|km|kg|元|年|月|日)"""
+
+
+def protected_spans(text: Column) -> Column:
+    """The protected spans of a text, in order."""
+    return F.regexp_extract_all(text, F.lit(PROTECTED), F.lit(0))
+
+
+def marked_html(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, html) of the documents (id, content) that have hits (id, start, end, suggestion, category): escaped text, each hit in a mark."""
+    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    own = hits.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "category", "suggestion"))).alias("hits"))
+    j = docs.select("id", "content").join(own, "id")
+    cut = lambda a, b: F.substring(F.col("content"), a + 1, b - a)
+
+    def step(state, h):
+        mark = F.concat(F.lit('<mark class="'), h["category"], F.lit('" title="'), escape(h["suggestion"]), F.lit('">'), escape(cut(h["start"], h["end"])), F.lit("</mark>"))
+        return F.struct(F.concat(state["html"], escape(cut(state["at"], h["start"])), mark).alias("html"), h["end"].alias("at"))
+
+    start = F.struct(F.lit("").alias("html"), F.lit(0).alias("at"))
+    html = F.aggregate("hits", start, step, lambda s: F.concat(s["html"], escape(cut(s["at"], F.length("content")))))
+    return j.select("id", html.alias("html"))

@@ -73,3 +73,14 @@ def unit_mix(docs: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 def any_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns)
+
+
+def verdict(metrics: DataFrame, ranges: list[tuple[str, float, float, bool]]) -> DataFrame:
+    """(id, verdict, fits, outside) of rows of metrics; ranges: (metric, least, most, hard).  A hard metric outside is "no", a soft one "in part"."""
+    inside = [(m, F.col(m).between(lo, hi), hard) for m, lo, hi, hard in sorted(ranges)]
+    no = F.lit(False)
+    for _, ok, hard in inside:
+        no = no | (~ok if hard else F.lit(False))
+    fits = sum((ok.cast("long") for _, ok, _ in inside), F.lit(0).cast("long"))
+    outside = F.array_join(F.filter(F.array(*[F.when(~ok, F.lit(m)) for m, ok, _ in inside]), lambda x: x.isNotNull()), ",")
+    return metrics.select("id", F.when(no, "no").when(fits < len(inside), "in part").otherwise("yes").alias("verdict"), fits.alias("fits"), outside.alias("outside"))

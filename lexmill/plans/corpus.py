@@ -61,9 +61,12 @@ def join_range_prefix(spark, sf):
     return words(spark, sf).where(F.col("word").startswith("s")).select("id", "word")
 
 
-@query(sql("SELECT id, p_name FROM (SELECT p_partkey AS id, p_name FROM part) WHERE starts_with(p_name, 'a')"))
+@query(sql("SELECT id, name FROM (SELECT p_partkey AS id, p_name || CASE p_partkey % 4 WHEN 0 THEN ' 50%_off' WHEN 1 THEN ' 50 off' ELSE '' END AS name FROM part) WHERE contains(name, '50%_o')"))
 def flt_like_escape(spark, sf):
-    return table(spark, sf, "part").where(F.col("p_name").startswith("a")).select(F.col("p_partkey").alias("id"), "p_name")
+    """LIKE with a keyword whose % and _ mean themselves."""
+    k = F.col("p_partkey") % 4
+    name = F.concat("p_name", F.when(k == 0, " 50%_off").when(k == 1, " 50 off").otherwise(""))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), name.alias("name")).where(C.like_any("name", "50%_o"))
 
 
 @query(sql("SELECT category, count(*) AS n, sum(word_count) AS chars FROM docs WHERE deleted_time = '' GROUP BY category"))
@@ -104,10 +107,10 @@ def join_left_meta(spark, sf):
     return table(spark, sf, "labels").select(F.col("doc_id").alias("id")).join(documents(spark, sf).select("id", "title", "deleted_time"), "id", "left")
 
 
-@query(sql("SELECT d.id AS id, count(e.event_id) AS n FROM docs d LEFT JOIN events e ON e.user_id = d.id WHERE d.id < 300 GROUP BY d.id"))
+@query(sql("SELECT d.id AS id, count(e.event_id) AS n FROM docs d LEFT JOIN events e ON e.user_id = d.id GROUP BY d.id"))
 def agg_attach_counts(spark, sf):
     n = table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return documents(spark, sf).where("id < 300").select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    return documents(spark, sf).select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(sql("SELECT a.word AS word, b.word AS related FROM words a JOIN words b ON length(a.word) = length(b.word) AND substr(a.word, 1, 2) = substr(b.word, 1, 2) AND a.word <> b.word"))

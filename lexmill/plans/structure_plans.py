@@ -12,6 +12,7 @@ from ..operators import corpus as C
 from ..operators import structure as S
 from ..session import table
 from .catalog import catalog
+from .more_texts import contracts
 from .search_plans import PARAS, paragraphs
 from .views import documents, sql, words
 
@@ -25,17 +26,24 @@ def txt_normalize(spark, sf):
 
 @query()
 def con_check(spark, sf):
-    """Registers' titles with planted inconsistent writings, one in each document."""
-    d = documents(spark, sf).select("id", F.concat(F.lit("2026年10月至2025年3月，应在3个工作日内反馈，逾期三个工作日。"), F.col("content")).alias("content"))
-    return K.check(d).select("id", "kind", "first", "variant")
+    return K.check(documents(spark, sf)).select("id", "kind", "first", "variant")
 
 
-@query(sql(PARAS + """, r AS (SELECT kind AS role, row_number() OVER (PARTITION BY kind ORDER BY id) AS nth, id AS reference_id, id % 3 AS l1 FROM paras WHERE doc_id < 100 AND doc_id % 2 = 0),
-d AS (SELECT kind AS role, row_number() OVER (PARTITION BY kind ORDER BY id) AS nth, id AS draft_id, id % 3 AS l2 FROM paras WHERE doc_id < 100 AND doc_id % 2 = 1)
+@query(sql("""o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, o_orderkey % 9 + 1 AS n FROM orders),
+x AS (SELECT id, year(d) || '年' || month(d) || '月' || day(d) || '日' AS zh, strftime(d, '%Y-%m-%d') AS iso, n, substr('一二三四五六七八九', CAST(n AS INTEGER), 1) AS cn, year(d) AS y, month(d) AS m FROM o)
+SELECT id, 'date' AS kind, zh AS first, iso AS variant FROM x WHERE id % 3 <> 0 UNION ALL SELECT id, 'number', n || '项', cn || '项' FROM x WHERE id % 2 = 0
+UNION ALL SELECT id, 'date_order', y || '年' || m || '月至' || (y - 1) || '年' || m || '月', '' FROM x WHERE id % 5 = 0"""))
+def con_contracts(spark, sf):
+    """Contracts written from the orders: some name a date or a quantity in two ways or end before they begin."""
+    return K.check(contracts(spark, sf)).select("id", "kind", "first", "variant")
+
+
+@query(sql(PARAS + """, r AS (SELECT kind AS role, row_number() OVER (PARTITION BY kind ORDER BY id) AS nth, id AS reference_id, id % 3 AS l1 FROM paras WHERE doc_id % 2 = 0),
+d AS (SELECT kind AS role, row_number() OVER (PARTITION BY kind ORDER BY id) AS nth, id AS draft_id, id % 3 AS l2 FROM paras WHERE doc_id % 2 = 1)
 SELECT coalesce(r.role, d.role) AS role, CAST(coalesce(r.nth, d.nth) AS INTEGER) AS nth, CASE WHEN draft_id IS NULL THEN 'missing' WHEN reference_id IS NULL THEN 'extra' WHEN l1 <> l2 THEN 'level_mismatch' ELSE 'matched' END AS relation, reference_id, draft_id
 FROM r FULL JOIN d ON r.role = d.role AND r.nth = d.nth"""))
 def txt_align(spark, sf):
-    p = paragraphs(spark, sf).where("doc_id < 100").select("id", "doc_id", F.col("kind").alias("role"), (F.col("id") % 3).alias("level"))
+    p = paragraphs(spark, sf).select("id", "doc_id", F.col("kind").alias("role"), (F.col("id") % 3).alias("level"))
     return S.align(p.where("doc_id % 2 = 0"), p.where("doc_id % 2 = 1"))
 
 
@@ -54,10 +62,9 @@ def txt_index_fresh(spark, sf):
     return d.join(index, "id", "left").select("id", F.coalesce(F.col("h") == F.col("hash"), F.lit(False)).alias("fresh"))
 
 
-@query(sql(r"SELECT id, sha256(regexp_replace(regexp_replace(content, '\n{3,}', chr(10) || chr(10), 'g'), '(?m)^[ \t　]+', '', 'g')) AS hash FROM docs WHERE NOT regexp_matches(content, '[\x00-\x08\x0B-\x1F]')"))
+@query()
 def fn_clean(spark, sf):
-    d = documents(spark, sf).where(~F.col("content").rlike(r"[\x00-\x08\x0B-\x1F]"))
-    return d.select("id", F.sha2(S.clean(F.col("content"))["text"], 256).alias("hash"))
+    return documents(spark, sf).select("id", F.sha2(S.clean(F.col("content"))["text"], 256).alias("hash"))
 
 
 @query(sql("SELECT id, CASE WHEN length(content) < 6 THEN NULL ELSE 5 END AS at FROM docs WHERE length(content) >= 6"))
@@ -130,11 +137,11 @@ def fn_slots(spark, sf):
     return documents(spark, sf).select("id", F.explode(F.regexp_extract_all("content", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))).alias("slot"))
 
 
-@query(sql("SELECT a.id AS id, CAST(len(list_intersect(list_distinct(string_split(a.content, ' ')), list_distinct(string_split(b.content, ' ')))) AS BIGINT) AS shared FROM docs a JOIN docs b ON b.id = a.id + 1 WHERE a.id < 200"))
+@query(sql("SELECT a.id AS id, CAST(len(list_intersect(list_distinct(string_split(a.content, ' ')), list_distinct(string_split(b.content, ' ')))) AS BIGINT) AS shared FROM docs a JOIN docs b ON b.id = a.id + 1"))
 def set_ngrams(spark, sf):
-    d = documents(spark, sf).where("id <= 200").select("id", F.split("content", " ").alias("w"))
+    d = documents(spark, sf).select("id", F.split("content", " ").alias("w"))
     n = d.select((F.col("id") - 1).alias("id"), F.col("w").alias("v"))
-    return d.where("id < 200").join(n, "id").select("id", F.size(F.array_intersect("w", "v")).cast("long").alias("shared"))
+    return d.join(n, "id").select("id", F.size(F.array_intersect("w", "v")).cast("long").alias("shared"))
 
 
 @query(sql("SELECT event_id FROM events WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = events.user_id AND p_size % 2 = 0)"))

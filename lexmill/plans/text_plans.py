@@ -76,9 +76,9 @@ def txt_paragraphs(spark, sf):
 _T = r"regexp_extract_all(lower(content), '[\p{L}\p{N}]+')"
 
 
-@query(sql(f"SELECT id, phrase, count(*) AS n FROM (SELECT id, array_to_string(t[i:i + 3], ' ') AS phrase FROM (SELECT id, {_T} AS t FROM docs WHERE word_count < 6000), unnest(range(1, len(t) - 2)) AS u(i) WHERE len(t) >= 4) GROUP BY 1, 2 HAVING count(*) >= 3"))
+@query(sql(f"SELECT id, phrase, count(*) AS n FROM (SELECT id, array_to_string(t[i:i + 3], ' ') AS phrase FROM (SELECT id, {_T} AS t FROM docs), unnest(range(1, len(t) - 2)) AS u(i) WHERE len(t) >= 4) GROUP BY 1, 2 HAVING count(*) >= 3"))
 def txt_repeated_phrases(spark, sf):
-    return Q.repeated_phrases(documents(spark, sf).where("word_count < 6000"))
+    return Q.repeated_phrases(documents(spark, sf))
 
 
 @query(sql("SELECT id, 'the' AS first, 'licensed' AS variant FROM docs WHERE contains(content, 'the') AND contains(content, 'licensed') UNION ALL SELECT id, 'token', 'secret' FROM docs WHERE contains(content, 'token') AND contains(content, 'secret')"))
@@ -201,10 +201,11 @@ def fn_human_size(spark, sf):
     return documents(spark, sf).select("id", F.octet_length("content").cast("long").alias("n")).select("id", "n", T.human_size(F.col("n")).alias("size"))
 
 
-@query(sql("SELECT id, replace(replace(content, 'a', 'ａ'), '1', '１') AS wide0, sha256(content) AS back FROM docs WHERE id < 50".replace("replace(replace(content, 'a', 'ａ'), '1', '１') AS wide0, ", "")))
+@query(sql("SELECT id, sha256(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789 ', 'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９　')) AS wide, sha256(content) AS back FROM (SELECT id, regexp_replace(content, '[^A-Za-z0-9 ]', '', 'g') AS content FROM docs)"))
 def fn_width(spark, sf):
-    d = documents(spark, sf).where("id < 50")
-    return d.select("id", F.sha2(T.to_half_width(T.to_full_width(F.col("content"))), 256).alias("back"))
+    d = documents(spark, sf).select("id", F.regexp_replace("content", "[^A-Za-z0-9 ]", "").alias("content"))
+    wide = T.to_full_width(F.col("content"))
+    return d.select("id", F.sha2(wide, 256).alias("wide"), F.sha2(T.to_half_width(wide), 256).alias("back"))
 
 
 @query(sql("SELECT id, CAST(length(substr(content, 1, 500)) - length(replace(substr(content, 1, 500), chr(10), '')) + 1 AS INTEGER) AS paragraph FROM docs"))

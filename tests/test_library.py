@@ -39,12 +39,13 @@ def test_numerals(spark):
 def test_consistency():
     from lexmill.operators import consistency as K
 
-    text = "应在3个工作日内反馈，逾期三个工作日的"
+    text = "材料收到后5个工作日答复，超过五个工作日须说明"
     found = K.numbers(text)
-    assert len(found) == 1 and found[0][2:4] == ("3个工作日", "三个工作日") and len(found[0][4]) == 2
+    assert len(found) == 1 and found[0][2:4] == ("5个工作日", "五个工作日") and len(found[0][4]) == 2
     assert not K.numbers("3个工作日和5个工作日") and not K.numbers("3—5个工作日，三至五个工作日") and not K.numbers("第3项和第三项")
-    assert [f[0] for f in K.date_order("2026年10月至2025年3月")] == ["date_order"] and not K.date_order("2025年3月至2026年10月")
-    assert len(K.dates("2026年8月5日印发，2026-08-05生效")) == 1 and not K.dates("2026年8月5日")
+    assert [f[0] for f in K.date_order("工期为2024年9月到2023年2月")] == ["date_order"] and not K.date_order("工期为2023年2月到2024年9月")
+    assert [f[2] for f in K.date_order("2024年9月5日至3月1日；2024年3月1日—9月5日")] == ["2024年9月5日至3月1日"]
+    assert len(K.dates("2021年4月9日签发，2021-04-09施行")) == 1 and not K.dates("2021年4月9日")
     assert len(K.sequence("（一）a\n（二）b\n（四）c")) == 1 and not K.sequence("（一）a\n（三）b")
 
 
@@ -56,8 +57,8 @@ def test_registers(spark):
     assert L.pending_due(reg, "no date", 2, ("closed",)).count() == 0
     months = spark.createDataFrame([("2026-01-05",), ("2026-01-09",), ("2026-12-01",), ("2026-xx-01",)], "sign_date string")
     assert [r["n"] for r in L.monthly(months, "2026").orderBy("month").collect()] == [2, *[0] * 10, 1]
-    serial = L.max_serial(spark.createDataFrame([("×政办发〔2025〕8号并入〔2025〕12号",)], "doc_no string")).first()
-    assert serial["max_serial"] == 12
+    serial = L.max_serial(spark.createDataFrame([("市函〔2021〕7号、〔2021〕31号",)], "doc_no string")).first()
+    assert serial["max_serial"] == 31
     nxt = L.next_numbers(spark.createDataFrame([("发（2026）1号",)], "doc_no string"), spark.createDataFrame([(7, "发", "2026")], "id long, prefix string, year string")).first()
     assert nxt["serial"] == 2
     rows = [(1, "XX局2026-0007", "2026-01-01", "2026-02-01", ""), (2, "", "2026-01-01", "2026-02-01", ""), (3, "", "2026-03-01", "2026-04-01", ""), (4, "", "2025-01-01", "2025-02-01", "")]
@@ -213,3 +214,25 @@ def test_consistency_and_headings_read_whole_texts(spark, monkeypatch):
     assert (0, "30人", "三十人") in got
     got = [(r["position"], r["problem"]) for r in P.QUERIES["win_heading_chain"](spark, "").where("id = 1").collect()]
     assert got == [(0, "level jump"), (30, "skipped")]
+
+
+def test_clean_and_control_characters(spark):
+    from lexmill.operators.structure import clean
+
+    rows = spark.createDataFrame([("a\n\n\n\nb",), ("  x\x01\x07y",), ("p\r\nq\x0cr",), ("",)], "t string").select(clean(F.col("t"))["text"].alias("c"))
+    got = [r["c"] for r in rows.collect()]
+    assert got[0] == "a\n\nb" and "\x01" not in got[1] and "\x07" not in got[1] and got[3] == ""
+
+
+def test_marks_material_and_gates(spark):
+    from lexmill.functions import text as T
+    from lexmill.operators import detect as D
+
+    docs = spark.createDataFrame([(1, "a <loser> & loser"), (2, "none")], "id long, content string")
+    hits = D.check_documents(docs, D.Rules(pairs=[D.Pair("loser", "rival")], repeats=False))
+    html = {r["id"]: r["html"] for r in D.marked_html(hits, docs).collect()}
+    mark = '<mark class="lexicon" title="rival">loser</mark>'
+    assert html == {1: f"a &lt;{mark}&gt; &amp; {mark}"}
+    m = one(spark, T.material(F.lit("# Title \n@TAGS a| b\nbody\nmore")))
+    assert (m["title"], m["tags"], m["body"]) == ("Title", ["a", "b"], "body\nmore")
+    assert one(spark, T.material(F.lit("no title")))["title"] == "" and one(spark, T.looks_binary(F.lit("abc\x00"))) and not one(spark, T.looks_binary(F.lit("plain")))
