@@ -112,9 +112,15 @@ def parse_any(name: str, raw: bytes | str | None) -> dict:
     try:
         if raw is None:
             raise ValueError("no content")
-        if kind not in PARSERS:
+        if kind not in PARSERS and kind != "docx":
             raise ValueError(f"no parser for .{kind}")
-        title, blocks = PARSERS[kind](_CONTROL.sub("", decode(raw) if isinstance(raw, bytes) else raw))
+        if kind == "docx":
+            from .office import docx_blocks
+
+            blocks = [(k, n, t) for k, n, t, _ in docx_blocks(raw)]
+            title = next((t for k, _, t in blocks if k == "heading"), blocks[0][2][:50] if blocks else "")
+        else:
+            title, blocks = PARSERS[kind](_CONTROL.sub("", decode(raw) if isinstance(raw, bytes) else raw))
         if not blocks:
             raise ValueError("empty")
         return {"ok": True, "title": title, "blocks": [{"type": k, "level": n, "text": t} for k, n, t in blocks], "error": None}
