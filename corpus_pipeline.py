@@ -18,10 +18,9 @@ from lexmill.llm.queries import tokenizer_path
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity model (fitted on the stage's labelled rows) rejects."""
-    from lexmill.llm.toxicity import fit, score_toxicity
+    from lexmill.llm.toxicity import fit, without_toxic
 
-    model = fit(docs, read_table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    return without_toxic(docs, fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +38,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks the secrets; n_chars follows the text where it changed."""
+    """Masks the secrets; n_chars follows the text where it changed, other columns stay."""
     from lexmill.llm.secret_scan import fit, labelled_findings, scan
 
-    found = scan(docs, fit(labelled_findings(spark)))
+    found = scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"), fit(labelled_findings(spark)))
     changed = ~F.col("masked").eqNullSafe(F.col("text"))
-    return found.withColumn("n_chars", F.when(changed, F.length("masked").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.col("masked")).select(*docs.columns)
+    new = {"text": F.col("masked"), "n_chars": F.when(changed, F.length("masked").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
+    return found.select(*[(new[c] if new.get(c) is not None else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("jaccard", jaccard), ("decontamination", decontaminate), ("secrets", secrets), ("packing", packing)]
 
-#: No SQL: the toxicity model, the alignment and the tokenizer have none; tests/llm holds the stages against brute force.
+#: No SQL: the toxicity model, the alignment and the tokenizer have none; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -122,11 +122,12 @@ def features(text: str, toxic, ordinary) -> tuple[float, float, float, float]:
 
 
 def without_copies(texts: list[str]) -> list[str]:
-    """The texts that are no near copy of an earlier one (half of the 16 least hashes of their longer words)."""
+    """The texts that are no near copy of an earlier one (half of the 16 least hashes of their neighbouring words)."""
     seen: dict[int, list[int]] = {}
     out = []
     for i, t in enumerate(texts):
-        least = sorted({zlib.crc32(w) for w in distinct_words(t) if len(w) > 5})[:16]
+        words = distinct_words(t)
+        least = sorted({zlib.crc32(a + b" " + b) for a, b in zip(words, words[1:], strict=False)})[:16]
         with_ = Counter(j for h in least for j in seen.get(h, ()))
         if with_ and 2 * max(with_.values()) >= len(least):
             continue
@@ -216,3 +217,15 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array([int(x >= CUT) for x in s], pa.int32())], names=[*b.schema.names, "score", "predicted"])
 
     return rows.mapInArrow(tidy(run), schema)
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that the model does not reject, with all their columns; rows are decided one by one."""
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+
+    def keep(batches):
+        score = model.scorer()
+        for b in batches:
+            yield b.filter(pa.array([score(t or "") < CUT for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(tidy(keep), docs.schema)
