@@ -13,9 +13,19 @@ def text_hash(text: Column) -> Column:
     return F.sha2(F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]", ""), 256)
 
 
+#: Han and kana, which are written without spaces.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    """Lower-cased runs of letters and digits, in order; a run of Han or kana is segmented into every two neighbouring characters (one stays alone)."""
+    plain = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    parts = F.regexp_extract_all(F.lower(text), F.lit(rf"{_UNSPACED}+|(?:(?!{_UNSPACED})[\p{{L}}\p{{N}}])+"), F.lit(0))
+
+    def pairs(t):
+        return F.when(t.rlike(f"^{_UNSPACED}{{3,}}$"), F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))).otherwise(F.array(t))
+
+    return F.when(text.rlike(_UNSPACED), F.flatten(F.transform(parts, pairs))).otherwise(plain)
 
 
 def sentences(text: Column, ends: str = "。！？；!?;\n.") -> Column:

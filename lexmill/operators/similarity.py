@@ -50,9 +50,17 @@ def ngram_pairs(docs: DataFrame, threshold: float, n: int = 3) -> DataFrame:
     return pairs.join(sa, "a").join(sb, "b").select("a", "b", F.round(sim, 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-@F.pandas_udf(T.LongType())
-def simhash64(token_lists: pd.Series) -> pd.Series:
-    """Signed 64-bit SimHash: tokens and token pairs of two characters or more vote by their counts with FNV-1a bits."""
+def simhashes(docs: DataFrame) -> DataFrame:
+    """(id, simhash) of documents (id, content): signed 64-bit SimHash, for which tokens and token pairs of two characters or more vote by their counts with FNV-1a bits."""
+
+    def run(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"id": pdf["id"], "simhash": _simhash64(pdf["t"])})
+
+    return docs.select("id", tokens(F.col("content")).alias("t")).mapInPandas(run, "id long, simhash long")
+
+
+def _simhash64(token_lists: pd.Series) -> pd.Series:
     from collections import Counter
 
     import numpy as np
@@ -80,7 +88,7 @@ def simhash64(token_lists: pd.Series) -> pd.Series:
         votes = (bits.astype(np.int64) * 2 - 1).T @ w
         return int(np.bitwise_or.reduce(np.where(votes > 0, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0))).view(np.int64))
 
-    return token_lists.map(one)
+    return token_lists.map(one).astype("int64")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -89,7 +97,7 @@ def hamming(a: Column, b: Column) -> Column:
 
 def find_similar(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(a, b, similarity) of pairs that pass the SimHash gate (1 - hamming / 64 >= threshold - 0.25) and the exact n-gram measure."""
-    h = docs.select("id", simhash64(tokens(F.col("content"))).alias("h"))
+    h = simhashes(docs).withColumnRenamed("simhash", "h")
     pairs = ngram_pairs(docs, threshold)
     near = pairs.join(h.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(h.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
     coarse = F.when((F.col("ha") == 0) & (F.col("hb") == 0), 1.0).otherwise(1 - hamming(F.col("ha"), F.col("hb")) / 64.0)

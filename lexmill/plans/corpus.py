@@ -256,20 +256,14 @@ def snk_verify(spark, sf):
     return C.verify(C.manifest(d.where("id % 10 <> 0")), C.manifest(d.where("id % 13 <> 0").withColumn("content", changed)))
 
 
-_SHORT = "(SELECT id, content FROM docs WHERE length(content) < 1500)"
-
-
-@query(sql(f"""t AS (SELECT id, regexp_replace(content, '[\\s\\x0B]', '', 'g') AS c FROM {_SHORT}),
-g AS (SELECT DISTINCT id, substr(c, i, 3) AS g FROM t, unnest(range(1, length(c) - 1)) AS u(i) WHERE length(c) >= 3), n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
-b AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
-SELECT a, b, round(k / (x.n + y.n - k), 6) AS similarity FROM b JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE round(k / (x.n + y.n - k), 6) >= 0.7"""))
+@query()
 def sim_jaccard(spark, sf):
-    return M.ngram_pairs(documents(spark, sf).where(F.length("content") < 1500), 0.7)
+    return M.ngram_pairs(documents(spark, sf), 0.7)
 
 
 @query()
 def sim_hash64(spark, sf):
-    return documents(spark, sf).select("id", M.simhash64(T.tokens(F.col("content"))).alias("simhash"))
+    return M.simhashes(documents(spark, sf))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import random
 
 import pytest
@@ -236,3 +237,61 @@ def test_marks_material_and_gates(spark):
     m = one(spark, T.material(F.lit("# Title \n@TAGS a| b\nbody\nmore")))
     assert (m["title"], m["tags"], m["body"]) == ("Title", ["a", "b"], "body\nmore")
     assert one(spark, T.material(F.lit("no title")))["title"] == "" and one(spark, T.looks_binary(F.lit("abc\x00"))) and not one(spark, T.looks_binary(F.lit("plain")))
+
+
+def test_search_in_texts_without_spaces(spark):
+    from lexmill.functions import text as T
+    from lexmill.operators import search as S
+
+    assert one(spark, T.tokens(F.lit("关于加强用水管理的通知2024 Water USE"))) == ["关于", "于加", "加强", "强用", "用水", "水管", "管理", "理的", "的通", "通知", "2024", "water", "use"]
+    assert one(spark, T.tokens(F.lit("水 water"))) == ["水", "water"] and one(spark, T.tokens(F.lit("abc d1"))) == ["abc", "d1"]
+    docs = spark.createDataFrame([(1, "通知", "关于加强用水管理的通知"), (2, "报告", "用电情况的报告"), (3, "x", "plain words")], "id long, title string, content string")
+    hits = docs.select("id", F.arrays_overlap(T.tokens(F.col("content")), T.tokens(F.lit("用水"))).alias("hit")).where("hit").collect()
+    assert [r["id"] for r in hits] == [1] and S is not None
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_similarity_by_force(spark):
+    from lexmill.plans.registry import QUERIES
+    from lexmill.plans.views import documents
+
+    docs = {r["id"]: re.sub(r"\s", "", r["content"]) for r in documents(spark, SF).collect()}
+    grams = {i: {t[k : k + 3] for k in range(len(t) - 2)} for i, t in docs.items()}
+    want = {}
+    for a, x in grams.items():
+        for b, y in grams.items():
+            if a < b and x and y and (s := round(len(x & y) / len(x | y), 6)) >= 0.7:
+                want[a, b] = s
+    assert {(r["a"], r["b"]): r["similarity"] for r in QUERIES["sim_jaccard"](spark, SF).collect()} == want
+
+
+def test_budgets_by_force(spark):
+    from lexmill.plans.registry import QUERIES
+
+    total, groups = {}, {}
+    for r in sorted(QUERIES["win_budget"](spark, SF).collect(), key=lambda r: r["id"]):
+        n = total.get(r["category"], 0) + r["word_count"]
+        assert r["included"] == (n <= 50_000)
+        total[r["category"]] = n if r["included"] else n - r["word_count"]
+        groups[r["category"]] = groups.get(r["category"], 0) + 1
+    assert sum(groups.values()) == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_genres_by_force(spark):
+    from lexmill.plans.registry import QUERIES
+    from lexmill.plans.text_plans import KEYS
+    from lexmill.plans.views import documents
+
+    kind = {r["id"]: r["file_type"] for r in documents(spark, SF).collect()}
+    m = {r["id"]: [float(r[k]) for k in KEYS] for r in QUERIES["txt_style"](spark, SF).collect()}
+
+    def at(v, p):
+        v, k = sorted(v), (len(v) - 1) * p
+        return round(v[int(k)] + (v[min(int(k) + 1, len(v) - 1)] - v[int(k)]) * (k - int(k)), 6)
+
+    prints = {g: [tuple(at([x[k] for i, x in m.items() if kind[i] == g], p) for p in (0.25, 0.5, 0.75)) for k in range(len(KEYS))] for g in set(kind.values())}
+    for r in QUERIES["txt_genre_rank"](spark, SF).collect():
+        far = {g: sum(abs(x - q[1]) / max(q[2] - q[0], 0.3 * abs(q[1]), 1.0) for x, q in zip(m[r["id"]], p, strict=True)) / len(KEYS) for g, p in prints.items()}
+        assert abs(min(far.values()) - r["distance"]) < 1e-4 and abs(far[r["best"]] - r["distance"]) < 1e-4
