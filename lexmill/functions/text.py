@@ -14,7 +14,7 @@ def text_hash(text: Column) -> Column:
 
 
 #: Han and kana, which are written without spaces.
-_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+_UNSPACED = r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]"
 
 
 def tokens(text: Column) -> Column:
