@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import text_hash, tokens
+from .ngram_join import similar_sets
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -32,22 +33,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def ngram_pairs(docs: DataFrame, threshold: float, n: int = 3) -> DataFrame:
-    """(a, b, similarity) of documents whose n-gram sets are similar, by an equi-join on n-grams (no cross join).
+    """(a, b, similarity) of all pairs of documents whose n-gram sets are similar, a < b.
 
-    The sets are ordered by the number of documents with an n-gram: similar ones
-    share one of the first size - ceil(threshold * size) + 1, so only these are joined.
+    Similar sets have similar sizes: a block of sets by size meets only those it can match.  There, parity sketches
+    bound the difference of a pair from below, and the pairs that pass are counted exactly.
     """
-    grams = docs.select("id", F.explode(char_ngrams(F.col("content"), F.lit(n))).alias("g"))
-    often = grams.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
-    sets = grams.join(often, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "g"))).alias("s")).select("id", F.col("s.g").alias("s"), F.size("s").alias("size"))
-    least = F.ceil((threshold - 1e-6) * F.col("size")).cast("int")  # the similarity is rounded to six places
-    first = sets.select("id", "size", F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(0), F.least(F.col("size"), F.col("size") - least + 1)))).alias("g"))
-    a, b = (first.select(F.col("id").alias(x), "g", F.col("size").alias(f"n{x}")) for x in "ab")
-    pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= (threshold - 1e-6) * F.greatest("na", "nb"))).select("a", "b").distinct()
-    sa, sb = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    sim = both / (F.size("sa") + F.size("sb") - both)
-    return pairs.join(sa, "a").join(sb, "b").select("a", "b", F.round(sim, 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    pairs = similar_sets(docs, threshold - 1e-6, n)  # the similarity is rounded to six places
+    return pairs.withColumn("similarity", F.round("similarity", 6)).where(F.col("similarity") >= threshold)
 
 
 def simhashes(docs: DataFrame) -> DataFrame:

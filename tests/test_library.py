@@ -267,6 +267,23 @@ def test_similarity_by_force(spark):
     assert {(r["a"], r["b"]): r["similarity"] for r in QUERIES["sim_jaccard"](spark, SF).collect()} == want
 
 
+def test_ngram_pairs_ship_sets_not_grams(spark, monkeypatch):
+    """Many texts of one vocabulary: nothing is joined by n-gram, and every pair of any size, block and copy is found."""
+    from lexmill.operators import similarity as M
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdef", k=rng.randint(2, 6))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([1, 3, 10, 40, 150]))) for _ in range(150)]
+    texts += [t[: len(t) * 9 // 10] for t in texts[::3]] + ["文件\u3000通知书", "文件通知书\x1f", "", "ab", "\U00020000\U00020001\U00020002x"] + ["the same text"] * 40
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in ("".join(t.split()) for t in texts)]
+    want = {(i, j): s for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b and (s := round(len(a & b) / len(a | b), 6)) >= 0.7}
+    df = M.ngram_pairs(store(spark, texts)(), 0.7)
+    rows = df.collect()
+    assert len(rows) == len(want) > 800 and {(r["a"], r["b"]): r["similarity"] for r in rows} == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def test_budgets_by_force(spark):
     from lexmill.plans.registry import QUERIES
 
