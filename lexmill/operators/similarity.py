@@ -38,7 +38,11 @@ def ngram_pairs(docs: DataFrame, threshold: float, n: int = 3) -> DataFrame:
     Similar sets have similar sizes: a block of sets by size meets only those it can match.  There, parity sketches
     bound the difference of a pair from below, and the pairs that pass are counted exactly.
     """
-    pairs = similar_sets(docs, threshold - 1e-6, n)  # the similarity is rounded to six places
+    return _rounded(similar_sets(docs, threshold - 1e-6, n), threshold).select("a", "b", "similarity")
+
+
+def _rounded(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of sets whose similarity, rounded to six places, reaches the threshold."""
     return pairs.withColumn("similarity", F.round("similarity", 6)).where(F.col("similarity") >= threshold)
 
 
@@ -52,35 +56,36 @@ def simhashes(docs: DataFrame) -> DataFrame:
     return docs.select("id", tokens(F.col("content")).alias("t")).mapInPandas(run, "id long, simhash long")
 
 
-def _simhash64(token_lists: pd.Series) -> pd.Series:
+def _simhash64(token_lists) -> list[int]:
     from collections import Counter
 
     import numpy as np
 
     known: dict[str, int] = {}
 
-    def fnv(s: str) -> int:
+    def fnv(s: str, h: int = 0xCBF29CE484222325) -> int:
+        for c in s.encode():
+            h = (h ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def word(s: str) -> int:
         if s not in known:
-            h = 0xCBF29CE484222325
-            for c in s.encode():
-                h = (h ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            if len(known) < 500_000:
-                known[s] = h
-            return h
+            if len(known) >= 200_000:
+                known.clear()
+            known[s] = fnv(s)
         return known[s]
 
     def one(ts) -> int:
         ts = list(ts) if ts is not None else []
-        feats = Counter(x for x in [*ts, *map("".join, zip(ts, ts[1:], strict=False))] if len(x) >= 2)
-        if not feats:
+        words, pairs = Counter(x for x in ts if len(x) >= 2), Counter(zip(ts, ts[1:], strict=False))
+        if not words and not pairs:
             return 0
-        h = np.array([fnv(x) for x in feats], np.uint64)
-        w = np.array([*feats.values()], np.int64)
-        bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-        votes = (bits.astype(np.int64) * 2 - 1).T @ w
-        return int(np.bitwise_or.reduce(np.where(votes > 0, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0))).view(np.int64))
+        h = np.array([*map(word, words), *(fnv(y, word(x)) for x, y in pairs)], np.uint64)  # the hash of a pair goes on from its first word's
+        w = np.array([*words.values(), *pairs.values()], np.float64)
+        votes = 2 * (w @ np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")) - w.sum()
+        return int(np.packbits(votes > 0, bitorder="little").view(np.int64)[0])
 
-    return token_lists.map(one).astype("int64")
+    return [one(ts) for ts in token_lists]
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -89,11 +94,9 @@ def hamming(a: Column, b: Column) -> Column:
 
 def find_similar(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(a, b, similarity) of pairs that pass the SimHash gate (1 - hamming / 64 >= threshold - 0.25) and the exact n-gram measure."""
-    h = simhashes(docs).withColumnRenamed("simhash", "h")
-    pairs = ngram_pairs(docs, threshold)
-    near = pairs.join(h.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(h.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+    pairs = _rounded(similar_sets(docs, threshold - 1e-6, 3, tokens(F.col("content")), _simhash64), threshold)
     coarse = F.when((F.col("ha") == 0) & (F.col("hb") == 0), 1.0).otherwise(1 - hamming(F.col("ha"), F.col("hb")) / 64.0)
-    return near.where(coarse >= threshold - 0.25).select("a", "b", "similarity")
+    return pairs.where(coarse >= threshold - 0.25).select("a", "b", "similarity")
 
 
 _OPS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("i1", "i2", "j1", "j2")]]))

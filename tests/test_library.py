@@ -284,6 +284,38 @@ def test_ngram_pairs_ship_sets_not_grams(spark, monkeypatch):
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
 
 
+def test_find_similar_gates_without_joins(spark):
+    """The SimHash of both documents comes with their sets; pairs beyond the gate are left out."""
+    from collections import Counter
+
+    from lexmill.operators import similarity as M
+
+    def simhash(text):
+        ts = re.findall(r"[a-z0-9]+", text)
+        votes = [0] * 64
+        for f, n in Counter(x for x in [*ts, *map("".join, zip(ts, ts[1:]))] if len(x) >= 2).items():
+            h = 0xCBF29CE484222325
+            for c in f.encode():
+                h = (h ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+            votes = [v + (n if h >> i & 1 else -n) for i, v in enumerate(votes)]
+        return sum(1 << i for i, v in enumerate(votes) if v > 0)
+
+    rng = random.Random(9)
+    texts = []
+    for _ in range(60):
+        t = "".join(rng.choices("abcde", k=rng.choice([12, 40, 300])))
+        cut = rng.randint(2, 9)
+        texts += [t, " ".join(t[i : i + cut] for i in range(0, len(t), cut)), t[: len(t) - 2]]  # other words, the same n-grams
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in (t.replace(" ", "") for t in texts)]
+    near = {(i, j): s for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and (s := round(len(a & b) / len(a | b), 6)) >= 0.7}
+    h = [simhash(t) for t in texts]
+    want = {k: v for k, v in near.items() if 1 - (h[k[0]] ^ h[k[1]]).bit_count() / 64 >= 0.7 - 0.25}
+    df = M.find_similar(store(spark, texts)(), 0.7)
+    rows = df.collect()
+    assert len(rows) == len(want) < len(near) and {(r["a"], r["b"]): r["similarity"] for r in rows} == want
+    assert "MergeJoin" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "ShuffledHashJoin" not in plan
+
+
 def test_budgets_by_force(spark):
     from lexmill.plans.registry import QUERIES
 
