@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import text_hash, tokens
-from .ngram_join import similar_sets
+from .ngram_join import similar_sets, similar_texts
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -32,13 +32,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.length(ta) == 0) & (F.length(tb) == 0), 1.0).when((F.length(ta) == 0) | (F.length(tb) == 0), 0.0).otherwise(both / (F.size(ga) + F.size(gb) - both))
 
 
-def ngram_pairs(docs: DataFrame, threshold: float, n: int = 3) -> DataFrame:
-    """(a, b, similarity) of all pairs of documents whose n-gram sets are similar, a < b.
+def ngram_pairs(docs: DataFrame, threshold: float, n: int = 3, lower: bool = False) -> DataFrame:
+    """(a, b, similarity) of all pairs of documents whose n-gram sets are similar, a < b; similarity is rounded after the threshold.
+
+    With lower, as `jaccard` has it: a pair is measured at order min(n, lengths), two empty texts are equal.  Else a
+    text of fewer than n characters has no set and no pair.
 
     Similar sets have similar sizes: a block of sets by size meets only those it can match.  There, parity sketches
-    bound the difference of a pair from below, and the pairs that pass are counted exactly.
+    bound the difference of a pair from below, and the pairs that pass are counted exactly.  Texts of fewer than n
+    characters are joined by their whole text with those that have few grams of that order.
     """
-    return _rounded(similar_sets(docs, threshold - 1e-6, n), threshold).select("a", "b", "similarity")
+    pairs = similar_texts(docs, threshold, n) if lower else similar_sets(docs, threshold, n)
+    return pairs.where((F.col("a") < F.col("b")) & (F.col("similarity") >= threshold)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def _rounded(pairs: DataFrame, threshold: float) -> DataFrame:

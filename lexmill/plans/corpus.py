@@ -258,7 +258,7 @@ def snk_verify(spark, sf):
 
 @query()
 def sim_jaccard(spark, sf):
-    return M.ngram_pairs(documents(spark, sf), 0.7)
+    return M.ngram_pairs(documents(spark, sf), 0.7, lower=True)
 
 
 @query()

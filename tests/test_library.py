@@ -284,6 +284,37 @@ def test_ngram_pairs_ship_sets_not_grams(spark, monkeypatch):
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
 
 
+def test_sim_jaccard_measures_short_texts_at_their_length(spark, monkeypatch):
+    """Order min(3, lengths) and equal empty texts, by force; the texts' groups are split into cells, an id that repeats makes no pair with itself."""
+    from lexmill.operators import ngram_join
+    from lexmill.operators import similarity as M
+    from lexmill.plans import corpus
+
+    def jaccard(a, b, n):
+        if not a or not b:
+            return float(a == b)
+        n = min(n, len(a), len(b))
+        x, y = ({t[i : i + n] for i in range(len(t) - n + 1)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    def by_force(texts, least, n=3):
+        plain = ["".join((t or "").split()) for t in texts]
+        return sorted((i, j, round(s, 6)) for i, a in enumerate(plain) for j, b in enumerate(plain) if i < j and (s := jaccard(a, b, n)) >= least)
+
+    rng = random.Random(3)
+    texts = ["", None, " \n\u3000", "甲", "甲 甲", "甲甲甲甲", "甲乙", "甲乙", "甲乙丙", "\x00", "\x00a", "\x00\x00a", "a", "a\u0301", "\U00020000", "\U00020000\U00020000\U00020000"]
+    texts += ["".join(rng.choices("ab c", k=rng.randint(0, 7))) for _ in range(120)] + ["x"] * 9 + ["a long text"] * 3
+    docs = store(spark, texts)
+    monkeypatch.setattr(corpus, "documents", docs)
+    got = sorted(tuple(r) for r in corpus.QUERIES["sim_jaccard"](spark, "").collect())
+    assert got == by_force(texts, 0.7) and {(0, 1, 1.0), (3, 5, 1.0), (6, 7, 1.0)} <= set(got)
+    monkeypatch.setattr(ngram_join, "CELL", 7)
+    for least, n in ((0.2, 3), (0.333334, 3), (0.4, 2), (0.7, 1)):
+        assert sorted(tuple(r) for r in M.ngram_pairs(docs(), least, n, lower=True).collect()) == by_force(texts, least, n)
+    again = spark.createDataFrame([(1, "a"), (1, "a"), (2, "aa"), (3, "long text"), (3, "long text")], "id long, content string")
+    assert [tuple(r) for r in M.ngram_pairs(again, 0.7, lower=True).collect()] == [(1, 2, 1.0)] * 2
+
+
 def test_find_similar_gates_without_joins(spark):
     """The SimHash of both documents comes with their sets; pairs beyond the gate are left out."""
     from collections import Counter
